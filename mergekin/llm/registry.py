@@ -1,5 +1,5 @@
 """The modules of this subpackage whose queries the driver runs."""
 
-from mergekin.llm import p1_groups, p4_terms, p5_survivors
+from mergekin.llm import p1_groups, p2_works, p4_terms, p5_survivors
 
-MODULES = [p1_groups, p4_terms, p5_survivors]
+MODULES = [p1_groups, p2_works, p4_terms, p5_survivors]
