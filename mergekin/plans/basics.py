@@ -274,7 +274,7 @@ SQL = {
     "native_comparators": rf"""
         WITH n AS (SELECT DISTINCT {_plain('namefrst_1')} AS a, {_plain('namefrst_2')} AS b FROM couples_csv WHERE namefrst_1 IS NOT NULL AND namefrst_2 IS NOT NULL)
         SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 ELSE 0.0 END::DOUBLE AS exact,
-               CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 ELSE round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 9) END AS editdist,
+               CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 ELSE round(1 - levenshtein(translate(a, 'éöüäáàèêëíï', '!#$%&()*+,-'), translate(b, 'éöüäáàèêëíï', '!#$%&()*+,-'))::DOUBLE / greatest(length(a), length(b)), 9) END AS editdist,
                {_qgram(2, 'average', True)} AS bigram, {_qgram(2, 'shortest', False)} AS bigram_short, {_qgram(3, 'longest', True)} AS trigram_long,
                CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 ELSE round(1 - (greatest(length(a), length(b)) - {_bag(_grams('a', 1, False), _grams('b', 1, False))})::DOUBLE / greatest(length(a), length(b)), 9) END AS bagdist,
                array_to_string(list_sort(list_filter(string_split(a, ' '), lambda w: w <> '')), ' ') AS sorted_a

@@ -11,7 +11,9 @@ from mergekin.functions import columns as C
 from mergekin.operators import evidence as E
 from mergekin.operators import graphs as G
 from mergekin.operators import names as N
+from mergekin.functions.phonetic import SOUNDEX_DIGITS
 from mergekin.operators.evaluate import quality, unique_keys
+from mergekin.plans.basics import _AZ, _code, _runs, _sql_standard
 from mergekin.session import read, stash
 from mergekin.sources.tables import household_relations, linked_census
 
@@ -20,7 +22,7 @@ PARTS_RULE = rule("parts", "name", "size", "price", (1, 0, 0), 0.75, core_t=0.5,
 
 def _first_letters(w: Column) -> Column:
     """A block key that both engines can form: the soundex code of the word."""
-    return C.soundex(w)
+    return C.soundex(F.regexp_replace(w, "[^a-z]", ""))
 
 
 # --- parts: the smallest end-to-end pipeline ---------------------------------------------------------------------------
@@ -100,7 +102,10 @@ def publication_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def author_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Author pairs under accepted publication pairs: same surname, and first names that are equal or of which one is the other's initial."""
-    pubs = publication_pairs(spark, d)
+    return _author_pairs(spark, d, publication_pairs(spark, d))
+
+
+def _author_pairs(spark: SparkSession, d: str, pubs: DataFrame) -> DataFrame:
     p = _surnames(spark, d).where("fname is not null and sname is not null").select("id", "pub_id", "fname", "sname")
     x = pubs.select("r1", "r2").join(p.select(F.col("pub_id").alias("r1"), F.col("id").alias("a1"), F.col("fname").alias("f1"), "sname"), "r1")
     y = x.join(p.select(F.col("pub_id").alias("r2"), F.col("id").alias("a2"), F.col("fname").alias("f2"), "sname"), ["r2", "sname"])
@@ -115,10 +120,11 @@ def matched_publications(spark: SparkSession, d: str) -> DataFrame:
 
 def _bib_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Publication and author nodes in groups: each publication pair with its author pairs."""
-    pubs = publication_pairs(spark, d).withColumn("group_id", F.xxhash64("r1", "r2"))
+    paired = stash(publication_pairs(spark, d), "pairs")
+    pubs = paired.withColumn("group_id", F.xxhash64("r1", "r2"))
     years = _pubs(spark, d).select("id", "year")
     pubs = pubs.join(years.select(F.col("id").alias("r1"), F.col("year").alias("year1")), "r1").join(years.select(F.col("id").alias("r2"), F.col("year").alias("year2")), "r2")
-    auth = author_pairs(spark, d).select(F.xxhash64("r1", "r2").alias("group_id"), F.col("a1").alias("r1"), F.col("a2").alias("r2"), F.when(F.col("by_initial"), 0.8).otherwise(1.0).alias("score"))
+    auth = _author_pairs(spark, d, paired).select(F.xxhash64("r1", "r2").alias("group_id"), F.col("a1").alias("r1"), F.col("a2").alias("r2"), F.when(F.col("by_initial"), 0.8).otherwise(1.0).alias("score"))
     a = auth.select("group_id", (-F.col("r1")).alias("r1"), (-F.col("r2")).alias("r2"), F.lit("A-A").alias("link"), F.col("score").alias("sim"), F.lit(None).cast("long").alias("year1"), F.lit(None).cast("long").alias("year2"))
     return pubs.select("group_id", "r1", "r2", F.lit("P-P").alias("link"), F.col("score").alias("sim"), F.col("year1").cast("long").alias("year1"), F.col("year2").cast("long").alias("year2")).unionByName(a)
 
@@ -254,4 +260,111 @@ QUERIES = {
     "clustered_names": clustered_names, "census_people": census_people, "household_relatives": household_relatives, "household_pairs": household_pairs, "linked_households": linked_households,
     "refined_household_pairs": refined_household_pairs, "census_quality": census_quality, "unique_people": unique_people,
 }
-SQL: dict[str, str] = {}
+
+
+# --- the same in SQL ---------------------------------------------------------------------------------------------------
+
+
+def _letters(x: str) -> str:
+    """DuckDB counts the bytes of accented letters, so each becomes a sign of one byte that no standard value has."""
+    return f"translate({x}, 'éöüäáàâèêëíïîóôúûçñßåøæý', '!#$%&()*+,-./:;<=>?@[]^_')"
+
+
+def _edit(a: str, b: str) -> str:
+    return f"(CASE WHEN coalesce({a}, '') = '' OR coalesce({b}, '') = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 ELSE 1 - levenshtein({_letters(a)}, {_letters(b)})::DOUBLE / greatest(length({a}), length({b})) END)"
+
+
+def _mad(a: str, b: str, most: int = 10) -> str:
+    return f"(CASE WHEN abs({a} - {b}) <= {most} THEN 1 - abs({a} - {b}) / {most}.0::DOUBLE ELSE 0.0 END)"
+
+
+def _soundex(word: str) -> str:
+    w = f"regexp_replace({word}, '[^a-z]', '', 'g')"
+    return f"(CASE WHEN {w} = '' THEN '0000' ELSE substring(rpad(substring({w}, 1, 1) || replace({_runs(f"translate(replace(substring({w}, 2), ' ', ''), '{_AZ}', '{SOUNDEX_DIGITS}')")}, '0', ''), 4, '0'), 1, 4) END)"
+
+
+_PART = f"""
+    WITH p AS (SELECT *, {_sql_standard('p_name')} AS name FROM part),
+    s AS (SELECT a.p_partkey AS r1, b.p_partkey AS r2, {_edit('a.name', 'b.name')} AS name, {_mad('a.p_size', 'b.p_size')} AS size, {_mad('a.p_retailprice', 'b.p_retailprice', 100)} AS price
+          FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey)"""
+_BIB = f"""
+    p AS (SELECT DISTINCT id, source, origin_id, {_sql_standard('pub_name')} AS pub_name, {_sql_standard('venue')} AS venue, CASE WHEN year > 0 THEN year END AS year FROM publication_dict),
+    pp AS (SELECT a.id AS r1, b.id AS r2, round(0.3 * {_mad('a.year', 'b.year')} + 0.7, 6) AS score FROM p a JOIN p b ON a.source = 'A' AND b.source = 'B' AND a.pub_name = b.pub_name AND abs(a.year - b.year) <= 2),
+    au AS (SELECT DISTINCT id, pub_id, {_sql_standard('fname')} AS fname, {_sql_standard('sname')} AS sname FROM people_dict WHERE source IN ('A', 'B')),
+    ap AS (SELECT r1, r2, x.id AS a1, y.id AS a2, x.fname IS DISTINCT FROM y.fname OR length(x.fname) = 1 AS by_initial
+           FROM pp JOIN au x ON x.pub_id = r1 JOIN au y ON y.pub_id = r2 AND y.sname = x.sname
+           WHERE x.fname = y.fname OR ((length(x.fname) = 1 OR length(y.fname) = 1) AND substring(x.fname, 1, 1) = substring(y.fname, 1, 1)))"""
+_NAMES = f"""
+    n AS (SELECT DISTINCT id, {_sql_standard('fname')} AS fname, {_sql_standard('sname')} AS sname FROM people_dict WHERE source IN ('A', 'B')),
+    c AS (SELECT sname || '-' || fname AS key, sname, fname, count(*) AS freq, {_soundex('sname')} AS block FROM n WHERE fname IS NOT NULL AND sname IS NOT NULL GROUP BY sname, fname),
+    v AS (SELECT a.key, b.key AS other FROM c a JOIN c b ON a.block = b.block AND a.key <> b.key WHERE {_edit('a.sname', 'b.sname')} >= 0.85 AND {_edit('a.fname', 'b.fname')} >= 0.85)"""
+
+
+def _census_side(n: int) -> str:
+    code = lambda f: _code(f"{f}_{n}")
+    known = lambda f, unknown: f"CASE WHEN {code(f)} NOT IN ({unknown}) THEN {code(f)} END"
+    return f"""SELECT concat_ws('-', year_{n}, serial_{n}, pernum_{n}) AS id, year_{n} AS census_year, serial_{n} AS serial, pernum_{n} AS pernum,
+        CASE WHEN {code('relate')} IN ('1', '2') THEN CASE {code('sex')} WHEN '2' THEN 'M' WHEN '1' THEN 'F' END WHEN {code('relate')} = '3' THEN 'C' END AS role,
+        CASE {code('sex')} WHEN '1' THEN 'M' WHEN '2' THEN 'F' END AS sex, {_sql_standard(f'namefrst_{n}')} AS fname, {_sql_standard(f'namelast_{n}')} AS sname,
+        CAST(year_{n} - CAST(trunc(TRY_CAST({code('age')} AS DOUBLE)) AS INTEGER) AS INTEGER) AS birth_year, {code('race')} AS race, {known('bpl', "'999'")} AS bpl, {known('stateicp', "'99'")} AS state, {known('city', "'0'")} AS city,
+        {known('occ1950', "'995', '997', '999'")} AS occ FROM kept WHERE serial_{n} IS NOT NULL"""
+
+
+_FIELDS = ["census_year", "serial", "pernum", "role", "sex", "fname", "sname", "birth_year", "race", "bpl", "state", "city", "occ"]
+_CENSUS = f"""
+    kept AS (SELECT * FROM couples_csv WHERE {_code('relate_1')} IN ('1', '2', '3') AND (coalesce({_code('relate_1')} = {_code('relate_2')}, false) OR relate_2 IS NULL)),
+    sides AS ({_census_side(1)} UNION ALL {_census_side(2)}),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(fname, ''), coalesce(sname, ''), coalesce(occ, ''), coalesce(city, ''), coalesce(state, ''), coalesce(birth_year, 0)) AS k FROM sides),
+    people AS (SELECT * FROM ranked WHERE k = 1)"""
+_HOUSEHOLDS = f"""
+    hp AS (SELECT a.id AS r1, b.id AS r2, a.role, a.serial AS serial_1, b.serial AS serial_2, {_edit('a.fname', 'b.fname')} AS sim FROM people a JOIN people b
+           ON a.census_year = 1870 AND b.census_year = 1880 AND a.role = b.role AND a.sname = b.sname AND a.race = b.race AND a.bpl = b.bpl
+           WHERE coalesce(abs(a.birth_year - b.birth_year) <= 2, true) AND {_edit('a.fname', 'b.fname')} >= 0.7)"""
+_MEASURES = """CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CASE WHEN tp + fp > 0 THEN round(tp * 100.0::DOUBLE / (tp + fp), 2) ELSE 0.0 END AS precision,
+    CASE WHEN tp + fn > 0 THEN round(tp * 100.0::DOUBLE / (tp + fn), 2) ELSE 0.0 END AS recall, CASE WHEN tp + fp + fn > 0 THEN round(tp * 100.0::DOUBLE / (tp + fp + fn), 2) ELSE 0.0 END AS f_star"""
+
+SQL = {
+    "linked_parts": _PART + """, m AS (SELECT *, (CASE WHEN size >= 0.5 THEN size ELSE 0 END) AS core FROM s WHERE name >= 0.75),
+        w AS (SELECT r1, r2, CASE WHEN price >= 0.5 THEN 0.2 * core + 0.6 * name + 0.2 * price ELSE 0.3 * core + 0.7 * name END AS sim FROM m)
+        SELECT r1, r2, round(sim, 6) AS score FROM w WHERE sim >= 0.6""",
+    "accepted_parts": _PART + "SELECT r1, r2, CAST(1 AS BIGINT) AS n_must, CAST(size >= 0.5 AS BIGINT) AS n_core, CAST(price >= 0.5 AS BIGINT) AS n_extra FROM s WHERE name >= 0.75",
+    "ambiguous_parts": f"""
+        WITH p AS (SELECT p_partkey, coalesce({_sql_standard('p_name')}, 'None') || '-' || coalesce(p_brand, 'None') AS key FROM part), f AS (SELECT key, count(*) AS freq FROM p GROUP BY key), n AS (SELECT count(*) AS n FROM p)
+        SELECT p_partkey, freq, round(1 - ln(2 * freq) / ln(n), 6) AS ambiguity, round(0.7 * 0.9 + 0.3 * (1 - ln(2 * freq) / ln(n)), 6) AS combined FROM p JOIN f USING (key), n""",
+    "alike_surnames": f"""
+        WITH n AS (SELECT DISTINCT source, {_sql_standard('sname')} AS v FROM people_dict), a AS (SELECT v FROM n WHERE source = 'A' AND v IS NOT NULL), b AS (SELECT v FROM n WHERE source = 'B' AND v IS NOT NULL),
+        x AS (SELECT DISTINCT v, {_soundex('w')} AS block FROM (SELECT v, unnest(string_split(v, ' ')) AS w FROM a)), y AS (SELECT DISTINCT v, {_soundex('w')} AS block FROM (SELECT v, unnest(string_split(v, ' ')) AS w FROM b)),
+        j AS (SELECT DISTINCT x.v AS v1, y.v AS v2 FROM x JOIN y USING (block) WHERE x.v <> y.v)
+        SELECT v1, v2, round({_edit('v1', 'v2')}, 6) AS sim FROM j WHERE {_edit('v1', 'v2')} >= 0.8 UNION ALL SELECT a.v, a.v, 1.0 FROM a JOIN b ON a.v = b.v""",
+    "alike_years": f"""
+        WITH a AS (SELECT DISTINCT year FROM publication_dict WHERE source = 'A' AND year > 0), b AS (SELECT DISTINCT year FROM publication_dict WHERE source = 'B' AND year > 0)
+        SELECT CAST(a.year AS VARCHAR) AS v1, CAST(b.year AS VARCHAR) AS v2, round({_mad('a.year', 'b.year')}, 6) AS sim FROM a, b WHERE abs(a.year - b.year) <= 2""",
+    "publication_pairs": f"WITH {_BIB} SELECT r1, r2, score FROM pp",
+    "author_pairs": f"WITH {_BIB} SELECT r1, r2, a1, a2, (length(x.fname) = 1 OR length(y.fname) = 1) AND substring(x.fname, 1, 1) = substring(y.fname, 1, 1) AS by_initial FROM ap JOIN au x ON x.id = a1 JOIN au y ON y.id = a2",
+    "trimmed_bibliography": f"""
+        WITH {_BIB}, nodes AS (SELECT r1 AS g1, r2 AS g2, r1, r2, 'P-P' AS link, score AS sim FROM pp UNION ALL
+            SELECT r1, r2, -a1, -a2, 'A-A', CASE WHEN (length(x.fname) = 1 OR length(y.fname) = 1) AND substring(x.fname, 1, 1) = substring(y.fname, 1, 1) THEN 0.8 ELSE 1.0 END FROM ap JOIN au x ON x.id = a1 JOIN au y ON y.id = a2),
+        r AS (SELECT *, avg(sim) OVER w AS m, row_number() OVER w AS k FROM nodes WINDOW w AS (PARTITION BY g1, g2 ORDER BY sim DESC, r1, r2 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        best AS (SELECT g1, g2, max(CASE WHEN m >= 0.95 THEN k END) AS keep FROM r GROUP BY g1, g2)
+        SELECT r1, r2, link, round(sim, 6)::DOUBLE AS sim FROM r JOIN best USING (g1, g2) WHERE keep >= 2 AND k <= keep""",
+    "bibliography_groups": f"""
+        WITH {_BIB}, n AS (SELECT r1, r2, 1 + (SELECT count(*) FROM ap WHERE ap.r1 = pp.r1 AND ap.r2 = pp.r2) AS size FROM pp) SELECT size, count(*) AS groups FROM n GROUP BY size""",
+    "translated_truth": """
+        SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM valid v JOIN publication_dict a ON a.source = 'A' AND a.origin_id = v.ltable_id JOIN publication_dict b ON b.source = 'B' AND b.origin_id = v.rtable_id WHERE v.label = 1""",
+    "link_quality": f"""
+        WITH {_BIB}, f AS (SELECT DISTINCT least(r1, r2) AS a, greatest(r1, r2) AS b FROM pp), t AS (SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM p x JOIN p y ON x.source = 'A' AND y.source = 'B' AND x.pub_name = y.pub_name AND x.venue = y.venue),
+        c AS (SELECT (SELECT count(*) FROM f JOIN t USING (a, b)) AS tp, (SELECT count(*) FROM f) AS nf, (SELECT count(*) FROM t) AS nt), d AS (SELECT tp, nf - tp AS fp, nt - tp AS fn FROM c)
+        SELECT 'P-P' AS link, {_MEASURES} FROM d""",
+    "name_frequencies": f"WITH {_NAMES} SELECT key, freq FROM c",
+    "name_variations": f"WITH {_NAMES} SELECT key, other FROM v",
+    "clustered_names": f"WITH {_NAMES}, m AS (SELECT v.key, sum(c.freq) AS more FROM v JOIN c ON c.key = v.other GROUP BY v.key) SELECT c.key, CAST(c.freq + coalesce(m.more, 0) AS BIGINT) AS freq FROM c LEFT JOIN m USING (key)",
+    "census_people": f"WITH {_CENSUS} SELECT census_year, role, sex, count(*) AS n, count(fname) AS named, count(bpl) AS born, count(occ) AS working FROM people GROUP BY census_year, role, sex",
+    "household_relatives": f"""
+        WITH {_CENSUS}, j AS (SELECT a.id AS record, b.id AS other, CASE WHEN a.role <> 'C' AND b.role <> 'C' THEN 'spouse' WHEN a.role = 'C' AND b.role = 'M' THEN 'mother' WHEN a.role = 'C' AND b.role = 'F' THEN 'father' WHEN a.role <> 'C' THEN 'child' ELSE 'sibling' END AS relation
+            FROM people a JOIN people b ON a.census_year = b.census_year AND a.serial = b.serial AND a.id <> b.id WHERE a.role IS NOT NULL AND b.role IS NOT NULL)
+        SELECT relation, count(*) AS n, count(DISTINCT record) AS records FROM j GROUP BY relation""",
+    "household_pairs": f"WITH {_CENSUS}, {_HOUSEHOLDS} SELECT r1, r2, role, serial_1, serial_2, round(sim, 6) AS sim FROM hp",
+    "unique_people": f"""
+        WITH {_CENSUS}, u AS (SELECT *, count(*) OVER (PARTITION BY census_year, fname, sname, birth_year) AS c FROM people WHERE fname IS NOT NULL AND sname IS NOT NULL AND birth_year IS NOT NULL)
+        SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.census_year = 1870 AND b.census_year = 1880 AND a.c = 1 AND b.c = 1 AND a.fname = b.fname AND a.sname = b.sname AND a.birth_year = b.birth_year""",
+}

@@ -1,3 +1,5 @@
 """The modules whose queries the driver runs."""
 
-MODULES: list = []
+from mergekin.plans import basics, linkage, records, reports
+
+MODULES = [linkage, basics, records, reports]

@@ -33,26 +33,30 @@ def certificate_people(rows: DataFrame, kind: str) -> DataFrame:
     """
     have = set(rows.columns)
     col = lambda name: F.col(name) if name in have else F.lit(None).cast("string")
-    date = parse_date("event_date")
-    there = lambda p: standard_string(col(f"{p}_fname")).isNotNull() | standard_string(col(f"{p}_sname")).isNotNull()
+    prefixes = [p for p, *_ in CERTIFICATES[kind]]
+    there = lambda p: F.col(f"_there_{p}")
     id_of = lambda p: F.concat(F.col("cert_id").cast("string"), F.lit(f"_{p}"))
+    flagged = rows.withColumns({f"_there_{p}": standard_string(col(f"{p}_fname")).isNotNull() | standard_string(col(f"{p}_sname")).isNotNull() for p in prefixes})
+    # The exploded structs hold raw texts; they are standardised once, after the explode, which keeps the generated code small.
     people = []
     for prefix, role, sex, relations in CERTIFICATES[kind]:
-        if prefix == "spouse":
-            known = gender(col("deceased_gender"))
-            own_sex = F.when(known == "M", "F").when(known == "F", "M")
-        else:
-            own_sex = F.lit(sex) if sex else gender(col(f"{prefix}_gender"))
-        born = F.coalesce(col(f"{prefix}_birth_year").try_cast("int"), birth_year(F.year(date), col(f"{prefix}_age").cast("string")), F.year(date) if role == "Bb" else F.lit(None).cast("int"))
+        raw_sex = F.lit(sex) if sex else F.lit(None).cast("string") if prefix == "spouse" else col(f"{prefix}_gender").cast("string")
         fields = [
-            id_of(prefix).alias("id"), F.lit(role).alias("role"), own_sex.alias("sex"), standard_string(col(f"{prefix}_fname")).alias("fname"), standard_string(col(f"{prefix}_sname")).alias("sname"),
-            born.alias("birth_year"), clean_marriage_year(col("marriage_year").try_cast("int")).alias("marriage_year"), there(prefix).alias("there"),
-            *[standard_string(col(f"{prefix}_{o}") if f"{prefix}_{o}" in have else col(o)).alias(o) for o in _OPTIONAL],
+            id_of(prefix).alias("id"), F.lit(role).alias("role"), raw_sex.alias("sex"), (col("deceased_gender").cast("string") if prefix == "spouse" else F.lit(None).cast("string")).alias("partner_sex"),
+            col(f"{prefix}_fname").cast("string").alias("fname"), col(f"{prefix}_sname").cast("string").alias("sname"), col(f"{prefix}_birth_year").cast("string").alias("birth_year"), col(f"{prefix}_age").cast("string").alias("age"),
+            there(prefix).alias("there"), *[(col(f"{prefix}_{o}") if f"{prefix}_{o}" in have else col(o)).cast("string").alias(o) for o in _OPTIONAL],
             *[(F.when(there(relations[r]), id_of(relations[r])) if r in relations else F.lit(None).cast("string")).alias(r) for r in _RELATIONS],
         ]
         people.append(F.struct(*fields))
-    each = rows.select(F.col("cert_id").cast("string").alias("cert_id"), date.alias("event_date"), F.explode(F.array(*people)).alias("p"))
-    return each.where("p.there").select("cert_id", "event_date", F.year("event_date").alias("event_year"), F.unix_timestamp("event_date").alias("timestamp"), F.lit(kind).alias("kind"), "p.*").drop("there")
+    each = flagged.select(F.col("cert_id").cast("string").alias("cert_id"), parse_date("event_date").alias("event_date"), col("marriage_year").cast("string").alias("marriage_year"), F.explode(F.array(*people)).alias("p"))
+    each = each.select("cert_id", "event_date", F.year("event_date").alias("event_year"), F.unix_timestamp("event_date").alias("timestamp"), F.lit(kind).alias("kind"), "marriage_year", "p.*").where("there")
+    partner = gender(F.col("partner_sex"))
+    born = F.coalesce(F.col("birth_year").try_cast("int"), birth_year(F.col("event_year"), F.col("age")), F.when(F.col("role") == "Bb", F.col("event_year")))
+    return each.select(
+        "cert_id", "event_date", "event_year", "timestamp", "kind", "id", "role", F.coalesce(gender(F.col("sex")), F.when(partner == "M", "F").when(partner == "F", "M")).alias("sex"),
+        standard_string("fname").alias("fname"), standard_string("sname").alias("sname"), born.alias("birth_year"), clean_marriage_year(F.col("marriage_year").try_cast("int")).alias("marriage_year"),
+        *[standard_string(o).alias(o) for o in _OPTIONAL], *_RELATIONS,
+    )
 
 
 def relatives(people: DataFrame) -> DataFrame:
