@@ -63,7 +63,7 @@ def mixed(sizes: DataFrame, plan: DataFrame, seed: int = 42, buckets: int = BUCK
     epochs = plan.where("available > 0 and planned > 0").select("source", F.floor(F.col("planned") / F.col("available")).alias("whole"), F.col("planned").alias("want"), "available")
     epochs = epochs.withColumn("part", F.col("want") - F.col("whole") * F.col("available")).select("source", "whole", "part")
     h = F.xxhash64("doc_id", F.lit(seed))
-    docs = sizes.where("n_tokens > 0").join(F.broadcast(epochs), "source")  # epochs: one row per source
+    docs = sizes.select("doc_id", "source", "n_tokens").where("n_tokens > 0").join(F.broadcast(epochs), "source")  # epochs: one row per source
     docs = docs.select("doc_id", "source", "n_tokens", "whole", "part", h.alias("h"), F.pmod(h, F.lit(buckets)).alias("bucket"))
     sums = docs.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"), F.first("part").alias("part"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")  # at most `buckets` rows a source

@@ -122,7 +122,10 @@ class Trees:
 
 
 def boost(x: np.ndarray, y: np.ndarray, trees: int = 160, depth: int = 3, rate: float = 0.08, least: int = 4, bins: int = 32, sample: float = 0.8, seed: int = 7) -> Trees:
-    """Least-squares gradient boosting with histogram splits."""
+    """Least-squares gradient boosting with histogram splits. Without rows the model is the middle level."""
+    if not len(y):
+        none = np.zeros((0, 2**depth - 1), np.int64)
+        return Trees([np.empty(0)] * x.shape[1], 3.0, none, none, np.zeros((0, 2**depth)), depth)
     rng = np.random.default_rng(seed)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     model = Trees(edges, float(y.mean()), np.zeros((trees, 2**depth - 1), np.int64), np.full((trees, 2**depth - 1), 255, np.int64), np.zeros((trees, 2**depth)), depth)
