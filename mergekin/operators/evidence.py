@@ -49,21 +49,47 @@ def alike_values(left: DataFrame, right: DataFrame | None, attribute: str, colum
     return same.unionByName(scored).select(F.lit(attribute).alias("attr"), "v1", "v2", "sim")
 
 
-def pair_evidence(left: DataFrame, right: DataFrame, atomic: DataFrame, attributes: list[str], id_column: str = "id", ordered: bool = False) -> DataFrame:
+def _both_ways(atomic: DataFrame) -> DataFrame:
+    return atomic.select("attr", "v1", "v2", "sim").unionByName(atomic.where("v1 != v2").select("attr", F.col("v2").alias("v1"), F.col("v1").alias("v2"), "sim"))
+
+
+def _values(df: DataFrame, id_column: str, attributes: list[str], r: str, v: str) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("v")) for a in attributes])).alias("x")
+    return df.select(F.col(id_column).alias(r), each).select(r, "x.attr", F.col("x.v").alias(v)).where(f"{v} is not null")
+
+
+def pair_evidence(left: DataFrame, right: DataFrame, atomic: DataFrame, attributes: list[str], id_column: str = "id", ordered: bool = False, drive: list[str] | None = None) -> DataFrame:
     """(r1, r2, attr, sim): record pairs that have alike values in an attribute, in either order of the value pair.
 
-    An inverted index: each record appears under its values, so only pairs with evidence arise.
-    With ordered, left and right are the same records and each pair comes once with r1 < r2.
+    An inverted index: each record appears under its values, so only pairs with evidence arise.  With drive, pairs arise only where all of
+    these attributes are alike, from one join on all of them, and the other attributes are looked up for those pairs; so a value that tells little,
+    such as a year, never makes pairs by itself.  With ordered, left and right are the same records and each pair comes once with r1 < r2.
     """
-    def values(df: DataFrame, r: str, v: str) -> DataFrame:
-        each = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("v")) for a in attributes])).alias("x")
-        return df.select(F.col(id_column).alias(r), each).select(r, "x.attr", F.col("x.v").alias(v)).where(f"{v} is not null")
-
-    both = atomic.select("attr", "v1", "v2", "sim").unionByName(atomic.where("v1 != v2").select("attr", F.col("v2").alias("v1"), F.col("v1").alias("v2"), "sim"))
-    found = values(left, "r1", "v1").join(both, ["attr", "v1"]).join(values(right, "r2", "v2"), ["attr", "v2"])
-    if ordered:
-        found = found.where("r1 < r2")
-    return found.groupBy("r1", "r2", "attr").agg(F.max("sim").alias("sim"))
+    both = _both_ways(atomic)
+    rest = [a for a in attributes if a not in (drive or [])]
+    if not drive:
+        found = _values(left, id_column, attributes, "r1", "v1").join(both, ["attr", "v1"]).join(_values(right, id_column, attributes, "r2", "v2"), ["attr", "v2"])
+        found = found.where("r1 < r2") if ordered else found
+        return found.groupBy("r1", "r2", "attr").agg(F.max("sim").alias("sim"))
+    wide = left.select(F.col(id_column).alias("r1"), *[F.col(a).cast("string").alias(f"_{a}_1") for a in drive])
+    for a in drive:
+        wide = wide.join(both.where(F.col("attr") == a).select(F.col("v1").alias(f"_{a}_1"), F.col("v2").alias(f"_{a}"), F.col("sim").alias(f"_{a}_sim")), f"_{a}_1")
+    other = right.select(F.col(id_column).alias("r2"), *[F.col(a).cast("string").alias(f"_{a}") for a in drive])
+    pairs = wide.join(other, [f"_{a}" for a in drive])
+    pairs = pairs.where("r1 < r2") if ordered else pairs
+    pairs = pairs.groupBy("r1", "r2").agg(*[F.max(f"_{a}_sim").alias(f"_{a}_sim") for a in drive])
+    sims = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(f"_{a}_sim").alias("sim")) for a in drive])).alias("x")
+    found = pairs.select("r1", "r2", sims).select("r1", "r2", "x.attr", "x.sim")
+    if not rest:
+        return found
+    more = pairs.select("r1", "r2").join(_values(left, id_column, rest, "r1", "v1"), "r1").join(_values(right, id_column, rest, "r2", "v2"), ["r2", "attr"]).join(both, ["attr", "v1", "v2"])
+    return found.unionByName(more.groupBy("r1", "r2", "attr").agg(F.max("sim").alias("sim")))
+
+
+def driving(rule: Rule) -> list[str] | None:
+    """The attributes that every accepted pair has alike, if the rule tells."""
+    need = [a for c in (rule.must, rule.core, rule.extra) if c.least and c.least == len(c.attributes) for a in c.attributes]
+    return need or None
 
 
 def accepted_pairs(evidence: DataFrame, rule: Rule) -> DataFrame:
@@ -117,7 +143,7 @@ def combined_score(sim_attr: Column, sim_amb: Column, weight: float) -> Column:
 def attribute_linkage(left: DataFrame, right: DataFrame, atomic: DataFrame, rule: Rule, merge_t: float, id_column: str = "id", ordered: bool = False) -> DataFrame:
     """The attribute-similarity baseline: accepted pairs whose weighted score is at least merge_t; no clustering."""
     attributes = list(rule.category_of())
-    evidence = pair_evidence(left, right, atomic, attributes, id_column, ordered)
+    evidence = pair_evidence(left, right, atomic, attributes, id_column, ordered, driving(rule))
     return accepted_pairs(evidence, rule).select("r1", "r2").join(weighted_scores(evidence, rule), ["r1", "r2"]).where(F.col("sim_attr") >= merge_t)
 
 

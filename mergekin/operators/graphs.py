@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -85,15 +86,16 @@ def _clusters(parent: dict, x: object) -> object:
 
 
 def link_component(pdf: pd.DataFrame, merge_t: float, singles_t: float | None, one_to_one_types: set[str], year_gap: int | None, strict: bool) -> pd.DataFrame:
-    """The sequential linker on one conflict component: groups by size, then mean, then least pair; each trimmed to the prefix that passes.
+    """The sequential linker on whole conflict components: groups by size, then mean, then least pair; each trimmed to the prefix that passes.
 
     Nodes are pairs (r1, r2) of a type; records of one-to-one types may be in one pair only.  Single nodes join if their score is at
     least singles_t (None: they are left out).  strict re-checks one-to-one inside a group as its nodes are merged.
     """
+    rows = pdf.sort_values(["group_id", "sim", "r1", "r2"], ascending=[True, False, True, True], kind="stable").itertuples(index=False)
     groups = []
-    for gid, g in pdf.groupby("group_id", sort=False):
-        g = g.sort_values(["sim", "r1", "r2"], ascending=[False, True, True], kind="stable")
-        groups.append((-len(g), -g["sim"].mean(), g[["r1", "r2"]].min(axis=1).iloc[0], gid, g))
+    for gid, members in groupby(rows, key=lambda n: n.group_id):
+        g = list(members)
+        groups.append((-len(g), -sum(n.sim for n in g) / len(g), min(min(n.r1, n.r2) for n in g), gid, g))
     parent: dict = {}
     years: dict = {}
     used: set = set()
@@ -101,7 +103,7 @@ def link_component(pdf: pd.DataFrame, merge_t: float, singles_t: float | None, o
     for *_, gid, g in sorted(groups, key=lambda x: x[:4]):
         fit = []
         within: set = set()
-        for n in g.itertuples(index=False):
+        for n in g:
             if n.link in one_to_one_types and (n.r1 in used or n.r2 in used or (strict and (n.r1 in within or n.r2 in within))):
                 continue
             if year_gap is not None:
@@ -135,7 +137,7 @@ def link_component(pdf: pd.DataFrame, merge_t: float, singles_t: float | None, o
     return pd.DataFrame([(*o, _clusters(parent, o[1])) for o in out], columns=["group_id", "r1", "r2", "link", "sim", "entity"])
 
 
-def greedy_groups(nodes: DataFrame, merge_t: float, singles_t: float | None = None, one_to_one_types: tuple[str, ...] = (), year_gap: int | None = None, strict: bool = True) -> DataFrame:
+def greedy_groups(nodes: DataFrame, merge_t: float, singles_t: float | None = None, one_to_one_types: tuple[str, ...] = (), year_gap: int | None = None, strict: bool = True, task_rows: int = 50_000) -> DataFrame:
     """(group_id, r1, r2, link, sim, entity) of the node pairs that the greedy linker merges.
 
     nodes: (group_id, r1, r2, link, sim, year1, year2), ids long.  Groups conflict if they share a record; the components of that relation are
@@ -152,7 +154,9 @@ def greedy_groups(nodes: DataFrame, merge_t: float, singles_t: float | None = No
     marked = marked.join(top, "component").drop("component")
     types = set(one_to_one_types)
     schema = f"group_id {nodes.schema['group_id'].dataType.simpleString()}, r1 long, r2 long, link string, sim double, entity long"
-    return marked.groupBy("part").applyInPandas(lambda pdf: link_component(pdf, merge_t, singles_t, types, year_gap, strict), schema)
+    # Components are independent, so many small ones share a task: a call per component would cost more than its work.
+    buckets = max(8, nodes.count() // task_rows)
+    return marked.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda pdf: link_component(pdf, merge_t, singles_t, types, year_gap, strict), schema)
 
 
 def membership(merged: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def publication_pairs(spark: SparkSession, d: str) -> DataFrame:
     years = E.alike_values(a, b, "year", "year", 0.8)
     atomic = titles.unionByName(years)
     r = rule("pubs", "pub_name", "year", "", (1, 1, 0), 0.9, core_t=0.8)
-    evidence = E.pair_evidence(a, b, atomic, ["pub_name", "year"])
+    evidence = stash(E.pair_evidence(a, b, atomic, ["pub_name", "year"], drive=E.driving(r)), "evidence")
     return E.accepted_pairs(evidence, r).select("r1", "r2").join(E.weighted_scores(evidence, r), ["r1", "r2"]).select("r1", "r2", F.round("sim_attr", 6).alias("score"))
 
 
