@@ -14,18 +14,21 @@ def combined_frequency(records: DataFrame, columns: list[str]) -> DataFrame:
     return records.groupBy(*columns).agg(F.count("*").alias("freq")).withColumn("key", concat_key(*columns))
 
 
-def variations(combos: DataFrame, columns: list[str], min_sim: float = 0.9, comparator="sortwinkler", block="dmetaphone4") -> DataFrame:
+def variations(combos: DataFrame, columns: list[str], min_sim: float = 0.9, comparator="sortwinkler", block="dmetaphone4", block_on: list[str] | None = None) -> DataFrame:
     """(key, other): combinations whose every component is at least min_sim alike; direct neighbours only, never itself.
 
-    Only combinations that share the phonetic key of the first attribute are compared; a hot key splits further on that of the second
-    attribute's first letter when AQE splits the skewed join.
+    Only combinations that share the phonetic keys of block_on (by default the first attribute) are compared.  A common surname makes a
+    large block; blocking on further attributes splits it.
     """
     compare = similarity(comparator) if isinstance(comparator, str) else comparator
     code = encode_udf(block) if isinstance(block, str) else block
-    values = combos.select(F.col(columns[0]).alias("v")).where("v is not null").distinct().withColumn("block", code(F.col("v")))
-    keyed = combos.select("key", *columns).join(values.withColumnRenamed("v", columns[0]), columns[0])
-    other = keyed.select(F.col("key").alias("other"), "block", *[F.col(c).alias(f"{c}_o") for c in columns])
-    pairs = keyed.join(other, "block").where("key < other")
+    keyed, blocks = combos.select("key", *columns), []
+    for c in block_on or columns[:1]:
+        values = combos.select(c).where(F.col(c).isNotNull()).distinct().withColumn(f"_{c}", code(F.col(c)))
+        keyed = keyed.join(values, c)
+        blocks.append(f"_{c}")
+    other = keyed.select(F.col("key").alias("other"), *blocks, *[F.col(c).alias(f"{c}_o") for c in columns])
+    pairs = keyed.join(other, blocks).where("key < other")
     for c in columns:
         pairs = pairs.where(compare(F.col(c), F.col(f"{c}_o")) >= min_sim)
     once = pairs.select("key", "other")

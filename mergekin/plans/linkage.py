@@ -179,12 +179,12 @@ def name_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_variations(spark: SparkSession, d: str) -> DataFrame:
-    return N.variations(_name_combos(spark, d), ["sname", "fname"], 0.85, C.edit_dist, _first_letters)
+    return N.variations(_name_combos(spark, d), ["sname", "fname"], 0.85, C.edit_dist, _first_letters, ["sname", "fname"])
 
 
 def clustered_names(spark: SparkSession, d: str) -> DataFrame:
     combos = stash(_name_combos(spark, d), "combos")
-    return N.clustered_frequency(combos, N.variations(combos, ["sname", "fname"], 0.85, C.edit_dist, _first_letters))
+    return N.clustered_frequency(combos, N.variations(combos, ["sname", "fname"], 0.85, C.edit_dist, _first_letters, ["sname", "fname"]))
 
 
 # --- households --------------------------------------------------------------------------------------------------------
@@ -205,19 +205,19 @@ def household_relatives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _household_evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(people, evidence) of person pairs of the two censuses with the same role and sex in households that share a surname."""
+    """(people, pairs) of persons of the two censuses with the same role, surname, race and birthplace, close in age."""
     people, _ = _census(spark, d)
     people = stash(people, "people").where("role is not null and sname is not null")
-    x = people.where("census_year = 1870").select(*[F.col(c).alias(f"{c}_1") for c in ("id", "serial", "fname", "birth_year", "race", "bpl", "occ", "state")], "role", "sname")
-    y = people.where("census_year = 1880").select(*[F.col(c).alias(f"{c}_2") for c in ("id", "serial", "fname", "birth_year", "race", "bpl", "occ", "state")], "role", "sname")
-    pairs = x.join(y, ["role", "sname"]).where(F.coalesce(F.abs(F.col("birth_year_1") - F.col("birth_year_2")) <= 2, F.lit(True)))
+    x = people.where("census_year = 1870").select(*[F.col(c).alias(f"{c}_1") for c in ("id", "serial", "fname", "birth_year", "occ", "state")], "role", "sname", "race", "bpl")
+    y = people.where("census_year = 1880").select(*[F.col(c).alias(f"{c}_2") for c in ("id", "serial", "fname", "birth_year", "occ", "state")], "role", "sname", "race", "bpl")
+    pairs = x.join(y, ["role", "sname", "race", "bpl"]).where(F.coalesce(F.abs(F.col("birth_year_1") - F.col("birth_year_2")) <= 2, F.lit(True)))
     return people, pairs
 
 
 def household_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Person pairs of the two censuses with equal surname, role, race and birthplace and alike first names, close in age."""
     _, pairs = _household_evidence(spark, d)
-    good = pairs.where((F.col("race_1") == F.col("race_2")) & (F.col("bpl_1") == F.col("bpl_2"))).withColumn("sim", C.edit_dist("fname_1", "fname_2")).where("sim >= 0.7")
+    good = pairs.withColumn("sim", C.edit_dist("fname_1", "fname_2")).where("sim >= 0.7")
     return good.select(F.col("id_1").alias("r1"), F.col("id_2").alias("r2"), "role", "serial_1", "serial_2", F.round("sim", 6).alias("sim"))
 
 
@@ -296,7 +296,7 @@ _BIB = f"""
            WHERE x.fname = y.fname OR ((length(x.fname) = 1 OR length(y.fname) = 1) AND substring(x.fname, 1, 1) = substring(y.fname, 1, 1)))"""
 _NAMES = f"""
     n AS (SELECT DISTINCT id, {_sql_standard('fname')} AS fname, {_sql_standard('sname')} AS sname FROM people_dict WHERE source IN ('A', 'B')),
-    c AS (SELECT sname || '-' || fname AS key, sname, fname, count(*) AS freq, {_soundex('sname')} AS block FROM n WHERE fname IS NOT NULL AND sname IS NOT NULL GROUP BY sname, fname),
+    c AS (SELECT sname || '-' || fname AS key, sname, fname, count(*) AS freq, {_soundex('sname')} || {_soundex('fname')} AS block FROM n WHERE fname IS NOT NULL AND sname IS NOT NULL GROUP BY sname, fname),
     v AS (SELECT a.key, b.key AS other FROM c a JOIN c b ON a.block = b.block AND a.key <> b.key WHERE {_edit('a.sname', 'b.sname')} >= 0.85 AND {_edit('a.fname', 'b.fname')} >= 0.85)"""
 
 
