@@ -92,18 +92,102 @@ def phonex(s: str, maxlen: int = 4) -> str:
     return _fit(code, maxlen)
 
 
-#: Gadd's replacements, in order: place, letters, replacement, and what has to stand before and after (V vowel, C consonant).
+#: Gadd's replacements, in order: place, letters, replacement (- for none) and, where it matters, what has to stand before and after
+#: (V a vowel, C a consonant, . anything).
 PHONIX_RULES = """
-ALL dg g . .|ALL co ko . .|ALL ca ka . .|ALL cu ku . .|ALL cy si . .|ALL ci si . .|ALL ce se . .|START cl kl . V|ALL ck k . .|END gc k . .
-END jc k . .|START chr kr . V|START cr kr . V|START wr r . .|ALL nc nk . .|ALL ct kt . .|ALL ph f . .|ALL aa ar . .|ALL sch sh . .|ALL btl tl . .
-ALL ght t . .|ALL augh arf . .|MIDDLE lj ld V V|ALL lough low . .|START q kw . .|START kn n . .|END gn n . .|ALL ghn n . .|END gne n . .|ALL ghne ne . .
-END gnes ns . .|START gn n . .|MIDDLE gn n . C|END gn n . .|START ps s . .|START pt t . .|START cz c . .|MIDDLE wz z V .|MIDDLE cz ch . .|ALL lz lsh . .
-ALL rz rsh . .|MIDDLE z s . V|ALL zz ts . .|MIDDLE z ts C .|ALL hroug rew . .|ALL ough of . .|MIDDLE q kw V V|MIDDLE j y V V|START yj y . V|START gh g . .
-END gh e V .|START cy s . .|ALL nx nks . .|START pf f . .|END dt t . .|END tl til . .|END dl dil . .|ALL yth ith . .|START tj ch . V|START tsj ch . V
-START ts t . V|ALL tch ch . .|MIDDLE wsk vskie V .|END wsk vskie V .|START mn n . V|START pn n . V|MIDDLE stl sl V .|END stl sl V .|END tnt ent . .|END eaux oh . .
-ALL exci ecs . .|ALL x ecs . .|END ned nd . .|ALL jr dr . .|END ee ea . .|ALL zs s . .|MIDDLE r ah V C|END r ah V .|MIDDLE hr ah V C|END hr ah V .
-END hr ah V .|END re ar . .|END r ah V .|ALL lle le . .|END le ile C .|END les iles C .|END e  . .|END es s . .|END ss as V .|END mb m V .
-ALL mpts mps . .|ALL mps ms . .|ALL mpt mt . .
+ALL dg g
+ALL co ko
+ALL ca ka
+ALL cu ku
+ALL cy si
+ALL ci si
+ALL ce se
+START cl kl . V
+ALL ck k
+END gc k
+END jc k
+START chr kr . V
+START cr kr . V
+START wr r
+ALL nc nk
+ALL ct kt
+ALL ph f
+ALL aa ar
+ALL sch sh
+ALL btl tl
+ALL ght t
+ALL augh arf
+MIDDLE lj ld V V
+ALL lough low
+START q kw
+START kn n
+END gn n
+ALL ghn n
+END gne n
+ALL ghne ne
+END gnes ns
+START gn n
+MIDDLE gn n . C
+END gn n
+START ps s
+START pt t
+START cz c
+MIDDLE wz z V .
+MIDDLE cz ch
+ALL lz lsh
+ALL rz rsh
+MIDDLE z s . V
+ALL zz ts
+MIDDLE z ts C .
+ALL hroug rew
+ALL ough of
+MIDDLE q kw V V
+MIDDLE j y V V
+START yj y . V
+START gh g
+END gh e V .
+START cy s
+ALL nx nks
+START pf f
+END dt t
+END tl til
+END dl dil
+ALL yth ith
+START tj ch . V
+START tsj ch . V
+START ts t . V
+ALL tch ch
+MIDDLE wsk vskie V .
+END wsk vskie V .
+START mn n . V
+START pn n . V
+MIDDLE stl sl V .
+END stl sl V .
+END tnt ent
+END eaux oh
+ALL exci ecs
+ALL x ecs
+END ned nd
+ALL jr dr
+END ee ea
+ALL zs s
+MIDDLE r ah V C
+END r ah V .
+MIDDLE hr ah V C
+END hr ah V .
+END hr ah V .
+END re ar
+END r ah V .
+ALL lle le
+END le ile C .
+END les iles C .
+END e -
+END es s
+END ss as V .
+END mb m V .
+ALL mpts mps
+ALL mps ms
+ALL mpt mt
 """
 
 
@@ -116,9 +200,8 @@ def _phonix_pattern(place: str, letters: str, before: str, after: str) -> re.Pat
 
 
 _PHONIX_STEPS = [
-    (_phonix_pattern(place, letters, before, after), to)
-    for line in PHONIX_RULES.strip().splitlines()
-    for place, letters, to, before, after in (rule.split(" ") for rule in line.split("|"))
+    (_phonix_pattern(place, letters, *(context or [".", "."])), "" if to == "-" else to)
+    for place, letters, to, *context in (line.split(" ") for line in PHONIX_RULES.strip().splitlines())
 ]
 
 

@@ -1,6 +1,6 @@
 """Records that arrive over time.
 
-The reference workload is batch; what streams here is delivery: later deliveries correct earlier ones, and new records are linked
+Linkage is batch work; what streams here is delivery: later deliveries correct earlier ones, and new records are linked
 against what is known.  Both have a batch form and a foreachBatch form that shares it.
 """
 
