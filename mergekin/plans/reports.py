@@ -136,9 +136,11 @@ def entity_link_counts(spark: SparkSession, d: str) -> DataFrame:
     """Links between records of the labelled pairs' groups, by the sides they come from."""
     v = stash(read(spark, d, "valid").where("label = 1 and ltable_id is not null and rtable_id is not null").select((F.col("ltable_id") * 2).alias("a"), (F.col("rtable_id") * 2 + 1).alias("b")).distinct(), "pairs")
     m = G.components(v, "a", "b").select(F.col("v").alias("record"), F.col("component").alias("entity"))
-    small = m.join(m.groupBy("entity").agg(F.count("*").alias("k")).where("k <= 12"), "entity").select("record", "entity")  # entities are persons: the hub groups of test decisions are none
-    roles = m.select("record", F.when(F.pmod("record", F.lit(2)) == 0, "A").otherwise("B").alias("role"))
-    return V.entity_links(small, roles, ["A-A", "A-B", "B-B"]).groupBy("link").agg(F.count("*").alias("n"))
+    # Two records of one side make a link, or one of each: the counts of the sides tell how many, without a pair of a hub group being written out.
+    sides = m.groupBy("entity").agg(*[F.count(F.when(F.pmod("record", F.lit(2)) == k, 1)).alias(side) for k, side in ((0, "a"), (1, "b"))])
+    within = lambda c: F.shiftright(F.col(c) * (F.col(c) - 1), 1)
+    links = F.array(*[F.struct(F.lit(link).alias("link"), n.alias("n")) for link, n in (("A-A", within("a")), ("A-B", F.col("a") * F.col("b")), ("B-B", within("b")))])
+    return sides.select(F.explode(links).alias("x")).groupBy("x.link").agg(F.sum("x.n").alias("n")).where("n > 0")
 
 
 def role_shares(spark: SparkSession, d: str) -> DataFrame:
