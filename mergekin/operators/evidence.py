@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergekin.config import Rule, comparator_of
-from mergekin.functions.columns import abs_difference, encode_udf, similarity
+from mergekin.functions.columns import abs_difference, edit_dist, encode_udf, similarity
 
 Compare = Callable[[Column, Column], Column]
 
@@ -49,6 +49,26 @@ def alike_values(left: DataFrame, right: DataFrame | None, attribute: str, colum
     return same.unionByName(scored).select(F.lit(attribute).alias("attr"), "v1", "v2", "sim")
 
 
+def alike_by_edits(values: DataFrame, min_sim: float) -> DataFrame:
+    """(v1, v2) of all values v, in both orders and each with itself, that edit_dist finds at least min_sim alike; min_sim above 0.5.
+
+    Without a block, and complete: k edits leave one of k + 1 segments of the shorter value as it was, so it stands in the longer one, no further
+    from its place than the edits before and after it allow.
+    """
+    v = values.select("v", F.length("v").alias("n")).where("n > 0").distinct()
+    start = "(i * l) div (k + 1)"
+    size = f"((i + 1) * l) div (k + 1) - {start}"
+    edits = lambda n: f"cast(floor({1 - min_sim} * {n} + 1e-9) as int)"
+    kept = f"flatten(transform(sequence({edits('n')}, {edits(f'n / {min_sim}')}), k -> transform(sequence(0, k), i -> xxhash64(l, k, i, substring(v, cast({start} as int) + 1, cast({size} as int))))))"
+    fits = f"abs(s) + abs(n - l - s) <= k and {start} + s >= 0"
+    sought = f"flatten(transform(sequence(cast(ceil({min_sim} * n - 1e-9) as int), n), l -> flatten(transform(sequence(0, k), i -> transform(filter(sequence(-k, k), s -> {fits}), s -> xxhash64(l, k, i, substring(v, cast({start} + s as int) + 1, cast({size} as int))))))))"
+    short = v.withColumn("l", F.col("n")).select(F.col("v").alias("v2"), F.col("n").alias("n2"), F.explode(F.expr(kept)).alias("segment"))
+    long = v.withColumn("k", F.expr(edits("n"))).select(F.col("v").alias("v1"), F.col("n").alias("n1"), F.explode(F.expr(sought)).alias("segment"))
+    pairs = long.join(short, "segment").where("n1 > n2 or (n1 = n2 and v1 < v2)").where(edit_dist("v1", "v2") >= min_sim).select("v1", "v2").distinct()
+    same = v.select(F.col("v").alias("v1"), F.col("v").alias("v2"))
+    return same.unionByName(pairs).unionByName(pairs.select(F.col("v2").alias("v1"), F.col("v1").alias("v2")))
+
+
 def _both_ways(atomic: DataFrame) -> DataFrame:
     return atomic.select("attr", "v1", "v2", "sim").unionByName(atomic.where("v1 != v2").select("attr", F.col("v2").alias("v1"), F.col("v1").alias("v2"), "sim"))
 

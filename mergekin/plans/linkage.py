@@ -179,12 +179,12 @@ def name_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_variations(spark: SparkSession, d: str) -> DataFrame:
-    return N.variations(_name_combos(spark, d), ["sname", "fname"], 0.85, C.edit_dist, _first_letters, ["sname", "fname"])
+    return N.variations(stash(_name_combos(spark, d), "combos"), ["sname", "fname"], 0.85, C.edit_dist, _first_letters)
 
 
 def clustered_names(spark: SparkSession, d: str) -> DataFrame:
     combos = stash(_name_combos(spark, d), "combos")
-    return N.clustered_frequency(combos, N.variations(combos, ["sname", "fname"], 0.85, C.edit_dist, _first_letters, ["sname", "fname"]))
+    return N.clustered_frequency(combos, N.variations(combos, ["sname", "fname"], 0.85, C.edit_dist, _first_letters))
 
 
 # --- households --------------------------------------------------------------------------------------------------------
