@@ -105,8 +105,8 @@ def near_tokens(tokens: DataFrame, least: int = 4) -> DataFrame:
     m = F.replace(F.col("f"), F.lit("rn"), F.lit("m"))
     keys = F.when(F.col("f").contains("rn"), F.array_distinct(F.concat(deletes(F.col("f")), deletes(m)))).otherwise(deletes(F.col("f")))
     keyed = tokens.select("token", "n", f.alias("f")).where(F.length("f") >= least).select("token", "n", "f", F.explode(keys).alias("d"))
-    # A token seen once can only be a slip of something else, never a target.
-    right = keyed.where("n > 1").select(F.col("token").alias("near"), F.col("n").alias("near_n"), F.col("f").alias("near_f"), "d")
+    # Of two tokens seen equally often, once each too, the first in order is the target.
+    right = keyed.select(F.col("token").alias("near"), F.col("n").alias("near_n"), F.col("f").alias("near_f"), "d")
     pairs = keyed.join(right, "d").where((F.col("token") != F.col("near")) & ((F.col("near_n") > F.col("n")) | ((F.col("near_n") == F.col("n")) & (F.col("near") < F.col("token")))))
     swapped = (F.length("f") == F.length("near_f")) & (F.levenshtein("f", "near_f", 2) >= 0) & (F.array_sort(F.split("f", "")) == F.array_sort(F.split("near_f", "")))
     read_as = F.levenshtein(F.replace("f", F.lit("rn"), F.lit("m")), F.replace("near_f", F.lit("rn"), F.lit("m")), 1) >= 0
@@ -416,7 +416,7 @@ def linked_couples(couples: DataFrame) -> DataFrame:
     # Rows loaded twice only repeat pairs, which are made distinct below.
     rows = stash(rows.where("last is not null and last != '' and age is not null"), "rows")
     names = rows.groupBy(F.col("last").alias("token")).agg(F.count("*").alias("n"))
-    near = near_tokens(names.withColumn("n", F.col("n") + 1))
+    near = near_tokens(names)
     both = near.select("token", "near")
     same = names.select("token", F.col("token").alias("near"))
     spelled = stash(both.unionByName(same), "near")

@@ -80,3 +80,11 @@ def test_couples(spark):
     ]
     assert couples(spark, rows) == {(1, 4), (2, 5)}
     assert couples(spark, []) == set()
+
+
+def test_two_spellings_written_once_each_are_linked(spark):
+    near = spark.createDataFrame([("drruyrt", 1), ("druryrt", 1)], "token string, n long")
+    assert [tuple(r) for r in N.near_tokens(near).collect()] == [("druryrt", "drruyrt")]
+    rows = [(i, "eleanor", None, f"unlike{c * 6}") for i, c in enumerate("bdgk")] + [(8, "eleanor", None, "drruyrt"), (9, "eleanor", None, "druryrt")]
+    people = spark.createDataFrame(rows, "id long, fname string, mname string, sname string")
+    assert [tuple(r) for r in N.linked_people(people).collect()] == [(8, 9)]
