@@ -12,7 +12,9 @@ MISSING_TEXTS = ["", "unknown", "n/e", "no entry", "nk", "na", "ng"]
 def plain(value: Column | str) -> Column:
     """Lower-cased, each run of characters other than letters and digits one blank, trimmed. Null stays null."""
     c = F.col(value) if isinstance(value, str) else value
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    low = F.lower(c)
+    # Most values are one word already, which a look tells; writing the text anew costs several times as much.
+    return F.when(low.rlike(r"^[\p{L}\p{N}]+$"), low).otherwise(F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")))
 
 
 def is_missing(value: Column | str) -> Column:
@@ -101,8 +103,8 @@ def clean_marriage_year(c: Column, first: int = 1800, last: int = 1901) -> Colum
 
 def census_text(c: Column | str) -> Column:
     """Code texts such as '2.0' without the decimals."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(F.trim(c), r"\.0$", "")
+    t = F.trim(F.col(c) if isinstance(c, str) else c)
+    return F.when(F.endswith(t, F.lit(".0")), F.substring(t, F.lit(1), F.length(t) - 2)).otherwise(t)
 
 
 #: Census codes for "not known".
