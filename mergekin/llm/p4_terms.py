@@ -98,7 +98,7 @@ def word_entries(rows: DataFrame, column: str, id_column: str = "id") -> DataFra
     return (
         rows.select(words.alias("w"), F.col(id_column).alias("id"))
         .where("size(w) > 0")
-        .select(F.lit(column).alias("field"), F.explode(per_word).alias("e"), "id")
+        .select(F.lit(column).alias("field"), F.explode_outer(per_word).alias("e"), "id")  # outer, as else the optimizer forms the array once more to see that it has entries
         .select("field", "e.term", "id", "e.tf")
     )
 

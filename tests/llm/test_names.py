@@ -1,4 +1,5 @@
 import random
+from itertools import permutations
 
 from mergekin.llm import p3_names as N
 
@@ -23,14 +24,42 @@ def test_near_tokens_against_brute_force(spark):
     assert all(N.edit_distance(t, u, 2) <= 2 for t, u in got)
 
 
+def like(**led):
+    return lambda x, y: N.token_likeness(x, y, lambda p, q: led.get(p) == q)
+
+
 def test_alignment():
-    targets = lambda *ts: [[x] if x else [] for x in ts]
-    assert N.align(["mary", "krolt"], targets("", ""), ["mary", "krolt"]) == 1.0
-    assert N.align(["krolt", "mary"], targets("", ""), ["mary", "krolt"]) == 1.0
-    assert N.align(["m", "krolt"], targets("", ""), ["mary", "ann", "krolt"]) > N.ALIGN_AT
-    assert N.align(["molly", "krolt"], targets("mary", ""), ["mary", "krolt"]) > 0.9
-    assert N.align(["john", "krolt"], targets("", ""), ["mary", "krolt"]) < N.ALIGN_AT
-    assert N.align([], [], ["mary"]) == 0.0
+    assert N.align(["mary", "krolt"], ["mary", "krolt"], like()) == 1.0
+    assert N.align(["krolt", "mary"], ["mary", "krolt"], like()) == 1.0
+    assert N.align(["m", "krolt"], ["mary", "ann", "krolt"], like()) > N.ALIGN_AT
+    assert N.align(["molly", "krolt"], ["mary", "krolt"], like(molly="mary")) > 0.9
+    assert N.align(["john", "krolt"], ["mary", "krolt"], like()) < N.ALIGN_AT
+    assert N.align([], ["mary"], like()) == 0.0
+
+
+def test_every_token_counts_however_many_there_are():
+    many = ["anna", "berta", "clara", "dora", "emma", "frieda", "gerda", "hilda"]
+    assert N.align([*many, "krolt"], ["krolt", *many[::-1]], like()) == 1.0
+    assert N.align([*many[:5], "krolt"], [*many[:5], "vaurind"], like()) == (5 - 0.8) / 6
+    assert N.align([*many, "krolt"], [*many, "vaurind"], like()) < N.align([*many, "krolt"], [*many, "krolt"], like())
+
+
+def test_assignment_against_brute_force():
+    rng = random.Random(1)
+    for _ in range(60):
+        k, n = sorted((rng.randint(1, 6), rng.randint(1, 6)))
+        m = [[rng.choice([-0.8, 0.6, 0.75, 0.92, 1.0]) for _ in range(n)] for _ in range(k)]
+        assert abs(N.best_total(m) - max(sum(m[i][j] for i, j in enumerate(p)) for p in permutations(range(n), k))) < 1e-9
+
+
+def test_lexicon_of_many_names_is_built_from_neighbourhoods():
+    rng = random.Random(5)
+    names = {"".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(4, 9))): rng.randint(3, 5000) for _ in range(3000)}
+    g = N.GivenNames(names)
+    for t in rng.sample(list(names), 60):
+        longer = len(t) <= 5 and any(m >= 5 * names[t] and N.contracts(t, u) for u, m in names.items())
+        slip = any(m >= 20 * names[t] and u != t and N.edit_distance(t, u, 1) <= 1 for u, m in names.items())
+        assert (t in g.full) == (t not in N.NICKNAMES and not longer and not slip)
 
 
 def test_given_names():
@@ -63,6 +92,16 @@ def test_people(spark):
     assert people(spark, []) == set()
 
 
+def test_a_common_surname_tells_persons_apart_where_there_is_no_other(spark):
+    rng = random.Random(2)
+    syllables = ["bor", "dan", "fel", "gim", "hul", "jat", "kev", "lop", "mur", "nis"]
+    other = ["".join(rng.sample(syllables, 3)) for _ in range(400)]
+    filler = [(1000 + i, f, None, s) for i, (f, s) in enumerate([(f, s) for s in other for f in ("william", "mary", "john", "sarah")])]
+    held = [(9000 + i, f, None, "arlen") for i, f in enumerate(["elizabeth", "margaret", "john"] * 60)]
+    rows = [*filler, *held, (1, "elizabeth", "john", "arlen"), (2, "elizabeth", "j", "arlen"), (4, "mary", "trovinsk", "arlen"), (5, "mary", "trovinks", "arlen")]
+    assert {p for p in people(spark, rows) if min(p) < 100} == {(1, 2), (4, 5)}
+
+
 COUPLES = "couple_id long, relate_1 string, namefrst_1 string, namelast_1 string, serial_1 long, pernum_1 int, sex_1 string, race_1 string, bpl_1 string, age_1 string, stateicp_1 string, near string, p int"
 
 
