@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mergekin.llm.p3_names import deletes
 from mergekin.session import read, stash
 from mergekin.standardise import is_missing, plain, plain_or_null
 
@@ -25,8 +26,8 @@ from mergekin.standardise import is_missing, plain, plain_or_null
 WINDOW = 12
 #: Pairs of less confidence are no match.
 THRESHOLD = 0.7
-#: A title held by more rows than this does not tell works apart; its year has to.
-GENERIC_ROWS = 12
+#: A title of this many different years or more does not tell works apart; its year has to.
+GENERIC_YEARS = 5
 #: Field weights, and those of pairs with such a title.
 WEIGHTS = {"title": 0.45, "authors": 0.25, "year": 0.15, "venue": 0.15}
 GENERIC_WEIGHTS = {"title": 0.1, "authors": 0.35, "year": 0.4, "venue": 0.15}
@@ -55,9 +56,9 @@ def _bits(tokens: Column, words: int) -> list[Column]:
 def venue_codes(pubs: DataFrame, venues: DataFrame) -> DataFrame:
     """(venue, code): the official venue's acronym for every written form; null where none is nearest.
 
-    The acronym of a written name is its words' initials, of which the official one may differ by one letter; the table of
-    official names is a fixed code book.
+    The acronym of a written name is its words' initials, of which the official one may differ by one letter.
     """
+
     def initials(c: Column) -> Column:
         words = F.filter(F.split(F.regexp_replace(plain(c), r"\d+", ""), " "), lambda w: (w != "") & ~w.isin(_SMALL_WORDS))
         joined = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
@@ -66,9 +67,9 @@ def venue_codes(pubs: DataFrame, venues: DataFrame) -> DataFrame:
         trimmed = F.array_join(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: F.substring(w, 1, 1)), "")
         return F.when(F.size(words) == 0, None).when(F.size(words) == 1, first).when(tail == trimmed, trimmed).otherwise(joined)
 
-    official = F.broadcast(venues.select(initials(F.col("venue_name")).alias("official")).where("official is not null").distinct())
-    written = pubs.select("venue").where(~is_missing("venue")).distinct().withColumn("given", initials(F.col("venue")))
-    near = written.join(official, F.levenshtein("given", "official", 1).between(0, 1))
+    official = venues.select(initials(F.col("venue_name")).alias("official")).where("official is not null").distinct().withColumn("d", F.explode_outer(deletes(F.col("official"))))
+    written = pubs.select("venue").where(~is_missing("venue")).distinct().withColumn("given", initials(F.col("venue"))).where("given is not null").withColumn("d", F.explode_outer(deletes(F.col("given"))))
+    near = written.join(official, "d").where(F.levenshtein("given", "official", 1) >= 0).select("venue", "given", "official").distinct()
     best = near.groupBy("venue").agg(F.max(F.when(F.col("given") == F.col("official"), F.col("official"))).alias("same"), F.count("*").alias("n"), F.max("official").alias("one"))
     return best.select("venue", F.when(F.col("same").isNotNull(), F.col("same")).when(F.col("n") == 1, F.col("one")).alias("code"))
 
@@ -106,11 +107,14 @@ def _payload() -> list[str]:
 def _keyed(rows: DataFrame) -> DataFrame:
     flat = F.array_join("words", "")
     year = F.coalesce(F.col("year").cast("string"), F.lit("?"))
+    none = F.lit("")
+    first, last, code = F.coalesce("first_author", none), F.coalesce("last_author", none), F.coalesce("code", none)
+    # Every key ends in all that rows are compared by, so a run of equal keys, however long, holds rows that can stand for each other.
     keys = [
-        F.when(flat != "", F.concat(flat, F.lit("|"), F.coalesce("first_author", F.lit("")))),
-        F.when(flat != "", F.concat(F.reverse(flat), F.lit("|"), year)),
-        F.when(F.col("first_author").isNotNull(), F.concat("first_author", F.lit("|"), year, F.lit("|"), flat)),
-        F.when(F.col("code").isNotNull(), F.concat("code", F.lit("|"), year, F.lit("|"), F.coalesce("last_author", F.lit("")), F.lit("|"), flat)),
+        F.when(flat != "", F.concat_ws("|", flat, first, year, code, last)),
+        F.when(flat != "", F.concat_ws("|", F.reverse(flat), year, code, first, last)),
+        F.when(first != "", F.concat_ws("|", first, year, flat, code, last)),
+        F.when(code != "", F.concat_ws("|", code, year, last, flat, first)),
     ]
     named = F.explode(F.array(*[F.struct(F.lit(i).alias("kno"), k.alias("key")) for i, k in enumerate(keys)]))
     zero = F.lit(0).cast("long")
@@ -146,8 +150,8 @@ def _columns(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return cols
 
 
-def _compare(x: dict[str, np.ndarray], fresh: int, window: int, pos: np.ndarray | None = None, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of likely cross-source pairs between rows at most window apart, the later one at or after index fresh."""
+def _compare(x: dict[str, np.ndarray], fresh: int, window: int, pos: np.ndarray | None = None, part: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of likely cross-source pairs between rows at most window apart, the later one at or after index fresh; with pos, of different parts and the later one own."""
     n, left, right = len(x["id"]), [], []
     for k in range(1, window + 1):
         i = np.arange(max(fresh, k), n)
@@ -156,7 +160,7 @@ def _compare(x: dict[str, np.ndarray], fresh: int, window: int, pos: np.ndarray
         j = i - k
         ok = (x["is_a"][i] != x["is_a"][j]) & (x["kno"][i] == x["kno"][j])
         if pos is not None:
-            ok &= (pos[i] - pos[j] <= window) & (part[i] != part[j])
+            ok &= (pos[i] - pos[j] <= window) & (part[i] != part[j]) & own[i]
         i, j = i[ok], j[ok]
         good = _likely(x, i, j)
         left.append(x["id"][i[good]])
@@ -208,26 +212,31 @@ def _slider(window: int):
 
 def _across(window: int):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["part", "pos"]).sort_values(["part", "pos"], kind="stable")
-        sizes = pdf.groupby("part")["pos"].max() + 1
-        offset = sizes.cumsum() - sizes
-        pos = (pdf["pos"] + pdf["part"].map(offset)).to_numpy()
+        pdf = pdf.drop_duplicates(["place", "own"]).sort_values("place", kind="stable")
         x = {c: np.ascontiguousarray(pdf[c].to_numpy(bool if c == "is_a" else np.int64)) for c in ["kno", *_payload()]}
-        a, b = _compare(_columns(x), 0, window, pos, pdf["part"].to_numpy())
+        a, b = _compare(_columns(x), 0, window, pdf["place"].to_numpy(), pdf["part"].to_numpy(), pdf["own"].to_numpy(bool))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return compare
 
 
 def neighbourhood_pairs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct (a, b), a < b: ids of likely cross-source pairs that stand within the window in some sort order."""
+    """Distinct (a, b), a < b: ids of likely cross-source pairs that stand within the window in some sort order.
+
+    Rows of equal keys lie in the order of a hash, so those of the two sources are mixed.
+    """
     fields = ", ".join(f"{c} {'boolean' if c == 'is_a' else 'long'}" for c in _payload())
-    entries = _keyed(rows).withColumns({"year": F.col("year").cast("long")})
-    ordered = entries.repartitionByRange("kno", "key", "id").sortWithinPartitions("kno", "key", "id").drop("key")
+    entries = _keyed(rows).withColumns({"year": F.col("year").cast("long"), "tie": F.xxhash64("id")})
+    ordered = entries.repartitionByRange("kno", "key", "tie").sortWithinPartitions("kno", "key", "tie").drop("key", "tie")
     found = stash(ordered.mapInArrow(_slider(window), f"a long, b long, part int, pos long, last boolean, kno int, {fields}"), "window")
-    # The border rows are 2 * window for each partition of the sort: their number follows the partitions, not the data.
-    borders = found.where("a is null").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_across(window), "a long, b long")
-    return found.where("a is not null").select("a", "b").unionByName(borders).distinct()
+    # Border rows get their place in the whole order and meet in blocks of one window's width and the block before: a few rows a task's group.
+    borders = found.where("a is null")
+    sizes = borders.groupBy("part").agg((F.max("pos") + 1).alias("n"))  # one row for each partition of the sort
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    placed = borders.join(starts, "part").withColumn("place", F.col("pos") + F.col("start")).withColumn("block", F.floor(F.col("place") / window))
+    shown = placed.withColumn("own", F.lit(True)).unionByName(placed.withColumns({"block": F.col("block") + 1, "own": F.lit(False)}))
+    met = shown.groupBy("block").applyInPandas(_across(window), "a long, b long")
+    return found.where("a is not null").select("a", "b").unionByName(met).distinct()
 
 
 def _count_bits(prefix: str, n: int, x: str, y: str | None = None) -> Column:
@@ -281,7 +290,8 @@ def year_likeness(x: Column, y: Column) -> Column:
 def scored_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a_rec, b_rec, confidence): of every pair of source records the best confidence of its deliveries' pairs."""
     flat = F.array_join("words", "").alias("flat")
-    generic = rows.where("size(words) > 0").groupBy(flat).agg(F.count("*").alias("n")).where(F.col("n") > GENERIC_ROWS).select("flat", F.lit(True).alias("generic"))
+    titled = rows.where("size(words) > 0").select(flat, "year").distinct()
+    generic = titled.groupBy("flat").agg(F.count("year").alias("n")).where(F.col("n") >= GENERIC_YEARS).select("flat", F.lit(True).alias("generic"))
     cols = ["is_a", "rec", "year", "code", "words", *(f"a{i}" for i in range(_AUTHOR_WORDS)), *(f"g{i}" for i in range(_GRAM_WORDS))]
     side = rows.dropDuplicates(["id"]).select("id", F.struct(*cols).alias("r"))
     both = pairs.join(side.withColumnsRenamed({"id": "a", "r": "x"}), "a").join(side.withColumnsRenamed({"id": "b", "r": "y"}), "b")
@@ -291,8 +301,8 @@ def scored_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     venue = F.when(F.col("x.code").isNotNull() & F.col("y.code").isNotNull(), (F.col("x.code") == F.col("y.code")).cast("double"))
     # Columns recur under one title every few years, so there only the very year counts.
     years = year_likeness(F.col("x.year"), F.col("y.year"))
-    years = F.when(F.col("generic") & (years < 1), 0.0).otherwise(years)
-    both = both.select("x", "y", F.coalesce("generic", F.lit(False)).alias("generic"), title.alias("title"), authors.alias("authors"), years.alias("year"), venue.alias("venue"))
+    both = both.select("x", "y", F.coalesce(F.col("generic") & (title >= 0.8), F.lit(False)).alias("generic"), title.alias("title"), authors.alias("authors"), years.alias("year"), venue.alias("venue"))
+    both = both.withColumn("year", F.when(F.col("generic") & (F.col("year") < 1), 0.0).otherwise(F.col("year")))
     weight = {f: F.when(F.col(f).isNull(), 0.0).when(F.col("generic"), GENERIC_WEIGHTS[f]).otherwise(w) for f, w in WEIGHTS.items()}
     total = sum(weight.values(), F.lit(0.0))
     mean = sum((weight[f] * F.coalesce(f, F.lit(0.0)) for f in WEIGHTS), F.lit(0.0)) / F.greatest(total, F.lit(1e-9))

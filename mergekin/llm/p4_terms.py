@@ -1,6 +1,6 @@
 """Frequency of every distinct value or term.
 
-An external sort: (field, term, record) entries are range-partitioned on all three columns, so
+An external sort: (term, field, record) entries are range-partitioned on all three columns, so
 a term that fills a third of the collection spreads over many partitions, and each partition
 is sorted, spilling as it needs.  One scan over Arrow batches then run-length counts
 occurrences and records; the runs of a term that crosses partitions are added up at the end.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergekin.session import read
-from mergekin.standardise import plain, plain_or_null
+from mergekin.standardise import is_missing, plain, plain_or_null
 
 _RUNS = "field string, term string, occurrences long, records long"
 
@@ -81,7 +81,8 @@ def term_counts(entries: DataFrame) -> DataFrame:
     ties and repeats need no order; columns beside these four are ignored.
     """
     entries = entries.select("field", "term", F.col("id").cast("long").alias("id"), F.col("tf").cast("int").alias("tf")).where("field is not null and term is not null and id is not null")
-    ordered = entries.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id")
+    # Terms first: the sort compares the first bytes of its first column, which as the field would be the same in all rows.
+    ordered = entries.repartitionByRange("term", "field", "id").sortWithinPartitions("term", "field", "id")
     runs = ordered.mapInArrow(_count_runs, _RUNS)
     return runs.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
@@ -103,30 +104,41 @@ def word_entries(rows: DataFrame, column: str, id_column: str = "id") -> DataFra
     )
 
 
-def marked_terms(entries: DataFrame, common_share: float = 0.03, rare_occurrences: int = 1) -> DataFrame:
+def records_with_terms(rows: DataFrame, columns: dict[str, bool], id_column: str = "id") -> DataFrame:
+    """(field, of_records): distinct ids that have a term in each column, told without forming the terms; whole-value fields (True) pass over missing texts."""
+    has = {c: F.coalesce(F.col(c).rlike(r"[\p{L}\p{N}]"), F.lit(False)) & (~is_missing(c) if whole else F.lit(True)) for c, whole in columns.items()}
+    per_id = rows.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column)).agg(*[F.max(h).alias(f"_{i}") for i, h in enumerate(has.values())])
+    sums = per_id.agg(*[F.count_if(F.col(f"_{i}")).alias(f"_{i}") for i in range(len(has))])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_{i}").alias("of_records")) for i, c in enumerate(has)])).alias("x")).select("x.*")
+
+
+def marked_terms(entries: DataFrame, common_share: float = 0.03, rare_occurrences: int = 1, totals: DataFrame | None = None) -> DataFrame:
     """(field, term, occurrences, records, of_records, mark): mark is 'rare', 'common' or null.
 
-    of_records is the number of distinct ids with at least one term in the field; a field of one record with
-    one term is rare first.
+    of_records is the number of distinct ids with at least one term in the field (totals, if the caller knows them cheaper than by
+    counting the entries); a field of one record with one term is rare first.
     """
     counts = term_counts(entries)
-    totals = entries.where("term is not null and id is not null").select("field", "id").distinct().groupBy("field").agg(F.count("*").alias("of_records"))
+    if totals is None:
+        totals = entries.where("term is not null and id is not null").select("field", "id").distinct().groupBy("field").agg(F.count("*").alias("of_records"))
     mark = F.when(F.col("occurrences") <= rare_occurrences, "rare").when(F.col("records") > common_share * F.col("of_records"), "common")
     return counts.join(F.broadcast(totals), "field").withColumn("mark", mark)  # totals: one row per field
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = read(spark, sf_dir, "people_dict").select("id", "fname", "sname")
     pubs = read(spark, sf_dir, "publication_dict").select("id", "pub_name")
-    return value_entries(people, "fname").unionByName(value_entries(people, "sname")).unionByName(word_entries(pubs, "pub_name"))
+    entries = value_entries(people, "fname").unionByName(value_entries(people, "sname")).unionByName(word_entries(pubs, "pub_name"))
+    totals = records_with_terms(people, {"fname": True, "sname": True}).unionByName(records_with_terms(pubs, {"pub_name": False}))
+    return marked_terms(entries, totals=totals)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked_terms(_entries(spark, sf_dir)).where("mark is not null").select("field", "term", "mark")
+    return _marked(spark, sf_dir).where("mark is not null").select("field", "term", "mark")
 
 
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked_terms(_entries(spark, sf_dir)).select("field", "term", "occurrences", "records", "mark")
+    return _marked(spark, sf_dir).select("field", "term", "occurrences", "records", "mark")
 
 
 _SQL = r"""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mergekin.llm.tokens import TOKENIZER, with_token_counts
 from mergekin.session import read, stash
 
-#: Hash buckets a source, for the fractional cut.
+#: Hash buckets a source, and again of the bucket that holds the cut: what is left to be sorted is a 16-millionth of a source.
 BUCKETS = 4096
 
 
@@ -64,16 +64,23 @@ def mixed(sizes: DataFrame, plan: DataFrame, seed: int = 42, buckets: int = BUCK
     epochs = epochs.withColumn("part", F.col("want") - F.col("whole") * F.col("available")).select("source", "whole", "part")
     h = F.xxhash64("doc_id", F.lit(seed))
     docs = sizes.select("doc_id", "source", "n_tokens").where("n_tokens > 0").join(F.broadcast(epochs), "source")  # epochs: one row per source
-    docs = docs.select("doc_id", "source", "n_tokens", "whole", "part", h.alias("h"), F.pmod(h, F.lit(buckets)).alias("bucket"))
-    sums = docs.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"), F.first("part").alias("part"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")  # at most `buckets` rows a source
-    cut = sums.withColumn("before", before).where("before <= part and part < before + n").select("source", F.col("bucket").alias("cut"), "before")
-    docs = docs.join(F.broadcast(cut), "source", "left")
-    inside = docs.where("bucket = cut")
-    upto = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("h", "doc_id"))  # one bucket a source
-    inside = inside.withColumn("extra", (F.col("before") + upto - F.col("n_tokens") / 2 <= F.col("part")).cast("int"))
-    outside = docs.where("cut is null or bucket != cut").withColumn("extra", F.when(F.col("cut").isNull(), 0).when(F.col("bucket") < F.col("cut"), 1).otherwise(0))
-    both = inside.unionByName(outside)
+    docs = docs.select("doc_id", "source", "n_tokens", "whole", "part", h.alias("h"))
+
+    def before_and_after(rows: DataFrame, place: Column) -> tuple[DataFrame, DataFrame]:
+        """(rows of the bucket in which the running sum reaches part, with part less what lies before; the others, with extra)."""
+        rows = rows.withColumn("bucket", place)
+        sums = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"), F.first("part").alias("part"))
+        before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")  # at most `buckets` rows a source
+        cut = sums.withColumn("before", before).where("before <= part and part < before + n").select("source", F.col("bucket").alias("cut"), "before")
+        rows = rows.join(F.broadcast(cut), "source", "left")  # one row a source
+        outside = rows.where("cut is null or bucket != cut").withColumn("extra", F.when(F.col("cut").isNull(), 0).when(F.col("bucket") < F.col("cut"), 1).otherwise(0))
+        return rows.where("bucket = cut").withColumn("part", F.col("part") - F.col("before")).drop("bucket", "cut", "before"), outside.select("doc_id", "source", "n_tokens", "whole", "extra")
+
+    inside, first = before_and_after(docs, F.pmod("h", F.lit(buckets)))
+    inside, second = before_and_after(inside, F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    upto = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("h", "doc_id"))  # one bucket of a bucket of a source
+    last = inside.withColumn("extra", (upto - F.col("n_tokens") / 2 <= F.col("part")).cast("int")).select("doc_id", "source", "n_tokens", "whole", "extra")
+    both = first.unionByName(second).unionByName(last)
     return both.select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("extra")).cast("int").alias("repeats")).where("repeats > 0")
 
 

@@ -37,3 +37,10 @@ def test_whole_values(spark):
     counts = Counter({r.term: r.occurrences for r in T.term_counts(T.value_entries(df, "name")).collect()})
     assert counts == {"ann mary": 2, "éva": 1}
     assert T.value_entries(df, "name").where(F.col("term").isNull()).count() == 0
+
+
+def test_records_are_counted_alike_with_and_without_the_entries(spark):
+    rows = spark.createDataFrame([(1, "Ann", "a b"), (1, "Ann", "a b"), (2, "n/e", "n/e"), (3, None, "--"), (4, "...", None), (5, "É", " "), (None, "x", "y")], "id long, v string, t string")
+    entries = T.value_entries(rows, "v").unionByName(T.word_entries(rows, "t"))
+    given = T.records_with_terms(rows, {"v": True, "t": False})
+    assert sorted(map(tuple, T.marked_terms(entries).collect()), key=str) == sorted(map(tuple, T.marked_terms(entries, totals=given).collect()), key=str)
