@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import permutations
 from math import perm
 
@@ -71,10 +70,9 @@ ALIGN_AT, MARGIN = 0.55, 0.08
 MOSTLY = 0.65
 
 
-@lru_cache(maxsize=100_000)
 def fold(token: str) -> str:
     """Accents off, and the two-letter spellings of umlauts to one letter."""
-    t = "".join(c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c))
+    t = token if token.isascii() else "".join(c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c))
     return t.replace("oe", "o").replace("ae", "a").replace("ue", "u")
 
 
@@ -145,7 +143,6 @@ def edit_distance(a: str, b: str, most: int = 3) -> int:
     return min(row[-1], most + 1)
 
 
-@lru_cache(maxsize=200_000)
 def spelling_distance(a: str, b: str) -> int:
     """Edit distance up to 2 of folded tokens, taken as written or as a scanner may have misread them; 3 if it is larger."""
     if len(set(a) ^ set(b)) > 7:  # an edit changes two letters of the sets at most, a misread m three
@@ -428,10 +425,8 @@ class Aligner:
 
 def _scored(candidates: DataFrame, names: GivenNames) -> DataFrame:
     """candidates (form_id, person, a, b) plus score; a and b are tokens joined by blanks."""
-    shared = candidates.sparkSession.sparkContext.broadcast(names)  # the lexicon is bounded by ESTABLISHED
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(shared.value, False)
+        aligner = Aligner(names, False)  # sent with the function: built once, and bounded by ESTABLISHED
         for x in batches:
             scores = [aligner.score(a.split(), b.split()) for a, b in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(scores, pa.float64())], names=["form_id", "person", "score"])
@@ -458,10 +453,9 @@ def persons(forms: DataFrame, nicknames: dict[str, str] = NICKNAMES, least: int
     counts = words.groupBy(F.col("w.t").alias("token")).agg(F.sum(F.when(F.col("w.given"), F.col("n")).otherwise(0)).alias("as_given"), F.sum(F.when(F.col("w.given"), 0).otherwise(F.col("n"))).alias("as_surname"))
     frequent, surnames, common = lexicon(counts.where(~F.col("token").isin(TITLES)), total)
     names = GivenNames(frequent, nicknames)
-    shared = forms.sparkSession.sparkContext.broadcast(NameParser(names, surnames, common))
+    parser = NameParser(names, surnames, common)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = shared.value
         for x in batches:
             got = list(map(parser.parse, *(x.column(i).to_pylist() for i in (2, 3, 4))))
             told = pa.array([p is not None for p in got])
@@ -561,10 +555,10 @@ def linked_couples(couples: DataFrame) -> DataFrame:
     pairs = stash(pairs.select("id1", "id2", "h1", "h2", "name1", "name2", sure.alias("sure")).where("id1 != id2").distinct(), "pairs")
     words = rows.where("name is not null").select(F.explode(_words(F.col("name"))).alias("token")).groupBy("token").agg(F.count("*").alias("as_given"))
     frequent, _, _ = lexicon(words.withColumn("as_surname", F.lit(0).cast("long")), rows.count())
-    shared = couples.sparkSession.sparkContext.broadcast(GivenNames(frequent))
+    names = GivenNames(frequent)
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(shared.value, True)
+        aligner = Aligner(names, True)
         split = lambda t: [w for w in t.split() if w not in TITLES]
         for x in batches:
             score = [-1.0 if a is None or b is None else aligner.score(split(a), split(b)) for a, b in zip(x.column(4).to_pylist(), x.column(5).to_pylist(), strict=True)]

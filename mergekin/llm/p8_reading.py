@@ -1,9 +1,10 @@
 """Reading level of each document.
 
 Gradient-boosted regression trees over distributions of length, vocabulary, syntax and cohesion within a text.
-The vocabulary features score each word by the levels of the labelled texts it stands in (each text scored without its own
-fold's labels while training).  Grades of held-out folds set the cuts between levels, and are reported by source.
-Only the labelled sample comes to the driver; every document is scored where it lies, as a whole.
+The vocabulary features score each word by the levels of the labelled texts it stands in; in every fold, texts are scored by the
+labels of texts that are neither in that fold nor in the text's own.  Grades of held-out folds calibrate the grades (isotonic
+regression), and accuracy is reported for folds and for whole sources held out.  Texts are split once and all features are formed over flat arrays
+of a batch's words.  Only the labelled sample comes to the driver; every document is scored where it lies, as a whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ MAX_LABELLED = 20_000
 FOLDS = 5
 #: Words of a window over which local distributions are taken; windows overlap by half.
 SPAN = 16
+#: Characters of text that are looked at in one go.
+CHUNK = 1_000_000
 
 #: Frequent function words by language, for telling the language of a text.
 FUNCTION_WORDS = {
@@ -33,82 +37,177 @@ FUNCTION_WORDS = {
     "de": "der die das und ist nicht ein eine zu den von mit dem des im auf für wurde war sich auch als nach bei aus wird sie er es".split(),
     "fr": "le la les et des est une un dans que du pour qui par sur au avec pas ne se il elle sont aux ce cette été était leur".split(),
 }
-_LANG = {w: [lang for lang, ws in FUNCTION_WORDS.items() if w in ws] for ws in FUNCTION_WORDS.values() for w in ws}
+_LANGUAGES = list(FUNCTION_WORDS)
 _ENGLISH = set(FUNCTION_WORDS["en"])
 _LINKS = set("because although however therefore whereas unless while since but so when if which who that".split())
 
 _TAG = re.compile(r"<[^<>]{1,60}>|&\w{2,6};")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_STOP = re.compile(r"[.!?;]+(?=\s|$)|\n\s*\n")
+_PIECE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;]+(?=\s|$)|\n\s*\n")
 _VOWELS = re.compile(r"[aeiouyàâäéèêëîïôöùûü]+")
 
 
-def language(words: list[str]) -> str:
-    """The language whose function words make up most of the text; '' if none does."""
-    score = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    for w in words:
-        for lang in _LANG.get(w, ()):
-            score[lang] += 1 / len(_LANG[w])
-    best = max(score, key=score.get)
-    return best if score[best] > 0 else ""
-
-
-def _q(values: list[float] | np.ndarray, at: tuple = (0.1, 0.25, 0.5, 0.75, 0.9)) -> list[float]:
-    """Linearly interpolated quantiles; zeros without values. A sort and two look-ups, as the general function costs more than the rest of a text."""
-    a = np.sort(np.asarray(values, float))
-    if not len(a):
-        return [0.0] * len(at)
-    out = []
-    for q in at:
-        place = q * (len(a) - 1)
-        k = int(place)
-        out.append(float(a[k] + (a[min(k + 1, len(a) - 1)] - a[k]) * (place - k)))
+class Words:
+    """Numbers for words and, by number, what the features need of them. Number 0 ends a sentence."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.words: list[str] = [""]
+        self.rows: list[tuple] = [(0, 0, False, False, *(0.0 for _ in _LANGUAGES))]
+        self.table = np.zeros((0, 4 + len(_LANGUAGES)))
+
+    def numbers(self, text: str) -> list[int]:
+        out, number = [], self.number
+        for piece in _PIECE.findall(_TAG.sub(" ", text).lower()):
+            k = number.get(piece)
+            if k is None:
+                k = self._new(piece)
+            out.append(k)
+        return out
+
+    def _new(self, piece: str) -> int:
+        if not piece[0].isalpha():
+            k = 0
+        else:
+            k = len(self.words)
+            held = [lang for lang in _LANGUAGES if piece in FUNCTION_WORDS[lang]]
+            self.words.append(piece)
+            self.rows.append((len(piece), max(1, len(_VOWELS.findall(piece))), piece in _ENGLISH, piece in _LINKS, *(1 / len(held) if lang in held else 0.0 for lang in _LANGUAGES)))
+        self.number[piece] = k
+        return k
+
+    def known(self) -> np.ndarray:
+        if len(self.table) < len(self.rows):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], float)])
+        return self.table
+
+    def levels(self, vocabulary: dict[str, float]) -> np.ndarray:
+        return np.array([vocabulary.get(w, np.nan) for w in self.words])
+
+
+@dataclass
+class Texts:
+    """The words of some texts, one after the other: word numbers, text and sentence of each, and the commas of each text."""
+
+    word: np.ndarray
+    text: np.ndarray
+    sentence: np.ndarray
+    commas: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str | None], words: Words) -> Texts:
+        each = [words.numbers(t) if t else [] for t in texts]
+        flat = np.fromiter((k for one in each for k in one), np.int64)
+        text = np.repeat(np.arange(len(texts)), [len(one) for one in each])
+        stop = flat == 0
+        # A sentence ends with its text too.
+        sentence = np.cumsum(stop) + text
+        return cls(flat[~stop], text[~stop], np.unique(sentence[~stop], return_inverse=True)[1], np.array([(t or "").count(",") for t in texts], float))
+
+    def count(self) -> np.ndarray:
+        return np.bincount(self.text, minlength=len(self.commas))
+
+    def take(self, texts: np.ndarray) -> Texts:
+        """The words of the given texts only, in the order given."""
+        place = np.full(len(self.commas), -1)
+        place[texts] = np.arange(len(texts))
+        mine = np.flatnonzero(place[self.text] >= 0)
+        mine = mine[np.argsort(place[self.text[mine]], kind="stable")]
+        sentence = self.sentence[mine]
+        starts = np.r_[True, sentence[1:] != sentence[:-1]] if len(mine) else np.empty(0, bool)
+        return Texts(self.word[mine], place[self.text[mine]], np.cumsum(starts) - 1, self.commas[texts])
+
+
+def _quantiles(values: np.ndarray, group: np.ndarray, groups: int, at: tuple = (0.1, 0.25, 0.5, 0.75, 0.9)) -> np.ndarray:
+    """Linearly interpolated quantiles of each group's values, one column for each; zeros for a group without values."""
+    out = np.zeros((groups, len(at)))
+    if not len(values):
+        return out
+    n = np.bincount(group, minlength=groups)
+    low = values.min()
+    wide = values.max() - low + 1.0
+    ordered = np.sort(group * wide + (values - low)) - np.repeat(np.arange(groups), n) * wide + low
+    first, some = np.cumsum(n) - n, n > 0
+    for j, q in enumerate(at):
+        place = q * (n[some] - 1)
+        k = place.astype(np.int64)
+        a, b = ordered[first[some] + k], ordered[first[some] + np.minimum(k + 1, n[some] - 1)]
+        out[some, j] = a + (b - a) * (place - k)
     return out
 
 
-def words_of(text: str | None) -> tuple[list[str], list[str]]:
-    """(words in lower case, sentences) of a text without its markup."""
-    clean = _TAG.sub(" ", text or "")
-    return [w.lower() for w in _WORD.findall(clean)], [s for s in _STOP.split(clean) if s.strip()]
+def _means(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount(group, weights=values, minlength=groups) / np.maximum(np.bincount(group, minlength=groups), 1)
 
 
-def features(text: str | None, vocabulary: dict[str, float], middle: float) -> np.ndarray:
-    """The feature vector of a text; zeros for one without words. vocabulary: word -> mean level, middle: level of unknown words."""
-    return features_of(*words_of(text), (text or "").count(","), vocabulary, middle)
+def language(t: Texts, words: Words) -> list[str]:
+    """The language whose function words make up most of each text; '' if none does."""
+    table = words.known()
+    score = np.stack([np.bincount(t.text, weights=table[t.word, 4 + i], minlength=len(t.commas)) for i in range(len(_LANGUAGES))], axis=1)
+    return [_LANGUAGES[k] if s > 0 else "" for k, s in zip(score.argmax(axis=1), score.max(axis=1), strict=True)]
 
 
-def features_of(words: list[str], sentences: list[str], n_commas: int, vocabulary: dict[str, float], middle: float) -> np.ndarray:
-    if not words:
-        return np.zeros(N_FEATURES)
-    n = len(words)
-    length = np.array([len(w) for w in words], float)
-    syllables = np.array([max(1, len(_VOWELS.findall(w))) for w in words], float)
-    level = np.array([vocabulary.get(w, np.nan) for w in words])
+def features(t: Texts, words: Words, level_of: np.ndarray, middle: float) -> np.ndarray:
+    """The feature vectors of texts; zeros for one without words. level_of: mean level by word number, NaN for unknown words, which count as middle."""
+    groups = len(t.commas)
+    n = t.count()
+    out = np.zeros((groups, N_FEATURES))
+    if not len(t.word):
+        return out
+    table = words.known()
+    length, syllables, small, link = (table[t.word, i] for i in range(4))
+    level = level_of[t.word]
     known = ~np.isnan(level)
     level = np.where(known, level, middle)
-    per_sentence = [len(_WORD.findall(s)) for s in sentences]
-    per_sentence = [x for x in per_sentence if x]
-    small = np.fromiter((w in _ENGLISH for w in words), float, n)
-    starts = np.arange(0, max(1, n - SPAN // 2), SPAN // 2)
-    ends = np.minimum(starts + SPAN, n)
 
-    def means(x: np.ndarray) -> np.ndarray:
+    # Windows of SPAN words, a half apart, over each text.
+    half = SPAN // 2
+    first = np.cumsum(n) - n
+    windows = np.where(n > 0, np.maximum(1, -(-(n - half) // half)), 0)
+    of = np.repeat(np.arange(groups), windows)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+    starts = first[of] + k * half
+    ends = np.minimum(starts + SPAN, first[of] + n[of])
+
+    def span(x: np.ndarray) -> np.ndarray:
         upto = np.concatenate([[0.0], np.cumsum(x)])
         return (upto[ends] - upto[starts]) / (ends - starts)
 
-    span_level, span_length, span_long, span_small = means(level), means(length), means(syllables >= 3), means(small)
-    sets = [{w for w in words[i:j] if w not in _ENGLISH} for i, j in zip(starts, ends, strict=True)]
-    cohesion = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(sets, sets[2:], strict=False)]
-    commas = n_commas / n
-    links = sum(w in _LINKS for w in words) / n
-    return np.array([
-        *_q(span_level), *_q(span_length), *_q(span_long), *_q(span_small, (0.25, 0.5, 0.75)), *_q(per_sentence), *_q(length, (0.5, 0.75, 0.9)), *_q(level, (0.1, 0.5, 0.75, 0.9)),
-        level[known].mean() if known.any() else middle, known.mean(), np.log1p(n), len(set(words)) / n, len(set(words)) / np.sqrt(n), commas, links,
-        np.mean(cohesion) if cohesion else 0.0, np.mean(per_sentence) if per_sentence else 0.0, syllables.mean(), (length >= 9).mean(), (length <= 3).mean(),
-    ])
+    # Cohesion: content words that a window shares with the window after it (two on, as neighbours overlap).
+    size = ends - starts
+    inside = np.repeat(np.arange(len(of)), size)
+    at = np.repeat(starts, size) + np.arange(len(inside)) - np.repeat(np.cumsum(size) - size, size)
+    content = small[at] == 0
+    many = len(words.words)
+    pairs = np.unique(inside[content] * many + t.word[at[content]])
+    window = pairs // many
+    kinds = np.bincount(window, minlength=len(of))
+    follows = np.r_[of[2:] == of[:-2], False, False] if len(of) > 2 else np.zeros(len(of), bool)
+    shared = pairs[np.isin(pairs + 2 * many, pairs, assume_unique=True) & follows[window]] // many
+    common = np.bincount(shared, minlength=len(of))
+    pair = np.flatnonzero(follows)
+    cohesion = common[pair] / np.maximum(1, np.minimum(kinds[pair], kinds[pair + 2]))
+
+    per_sentence = np.bincount(t.sentence).astype(float)
+    sentence_of = t.text[np.r_[True, t.sentence[1:] != t.sentence[:-1]]]
+    links = np.bincount(t.sentence, weights=link)
+    safe = np.maximum(n, 1)
+    kinds_of_text = np.bincount(np.unique(t.text * many + t.word) // many, minlength=groups)
+    has_known = np.bincount(t.text[known], minlength=groups)
+    quarters = (0.25, 0.5, 0.75)
+    columns = [
+        _quantiles(span(level), of, groups), _quantiles(span(length), of, groups), _quantiles(span((syllables >= 3).astype(float)), of, groups), _quantiles(span(small), of, groups, quarters),
+        _quantiles(per_sentence, sentence_of, groups), _quantiles(links, sentence_of, groups, (0.5, 0.9)), _quantiles(cohesion, of[pair], groups, quarters),
+        _quantiles(length, t.text, groups, (0.5, 0.75, 0.9)), _quantiles(level, t.text, groups, (0.1, 0.5, 0.75, 0.9)),
+        np.where(has_known > 0, np.bincount(t.text[known], weights=level[known], minlength=groups) / np.maximum(has_known, 1), middle), has_known / safe, np.log1p(n), kinds_of_text / safe, kinds_of_text / np.sqrt(safe),
+        t.commas / safe, np.bincount(t.text, weights=link, minlength=groups) / safe, _means(cohesion, of[pair], groups), _means(per_sentence, sentence_of, groups), _means(syllables, t.text, groups),
+        _means((length >= 9).astype(float), t.text, groups), _means((length <= 3).astype(float), t.text, groups),
+    ]
+    out[:] = np.column_stack(columns)
+    out[n == 0] = 0.0
+    return out
 
 
-N_FEATURES = 5 + 5 + 5 + 3 + 5 + 3 + 4 + 12
+N_FEATURES = 5 + 5 + 5 + 3 + 5 + 2 + 3 + 3 + 4 + 12
 
 
 @dataclass
@@ -172,29 +271,26 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 160, depth: int = 3, rate:
     return model
 
 
-def vocabulary_of(word_sets: list[set[str]], levels: np.ndarray, weight: float = 2.0, least: int = 2) -> tuple[dict[str, float], float]:
+def vocabulary_of(t: Texts, levels: np.ndarray, words: Words, weight: float = 2.0, least: int = 2) -> tuple[dict[str, float], float]:
     """Mean level of the texts each word stands in, drawn to the overall mean; words of fewer texts than least are left out."""
-    total: dict[str, list[float]] = {}
-    for words, y in zip(word_sets, levels, strict=True):
-        for w in words:
-            got = total.setdefault(w, [0.0, 0])
-            got[0] += y
-            got[1] += 1
-    middle = float(np.mean(levels)) if len(levels) else 3.0
-    return {w: (s + weight * middle) / (n + weight) for w, (s, n) in total.items() if n >= least}, middle
-
-
-def best_cuts(grade: np.ndarray, level: np.ndarray, levels: int = 5) -> np.ndarray:
-    """Cuts between neighbouring levels that put most held-out texts right; halfway where a level has no texts."""
-    cuts = np.arange(1, levels) + 0.5
-    for k in range(1, levels):
-        near = (level == k) | (level == k + 1)
-        if (level[near] == k).any() and (level[near] == k + 1).any():
-            tries = np.unique(np.clip(np.r_[np.quantile(grade[near], np.linspace(0, 1, 60)), k + 0.5], k + 0.2, k + 0.8))
-            right = [((grade[near] > c) == (level[near] == k + 1)).sum() for c in tries]
-            good = tries[np.asarray(right) == max(right)]
-            cuts[k - 1] = good[np.abs(good - (k + 0.5)).argmin()]
-    return np.maximum.accumulate(cuts)
+    middle = float(levels.mean()) if len(levels) else 3.0
+    many = len(words.words)
+    pairs = np.unique(t.text * many + t.word)
+    word, level = pairs % many, levels[pairs // many] if len(pairs) else np.empty(0)
+    n, total = np.bincount(word, minlength=many), np.bincount(word, weights=level, minlength=many)
+    return {words.words[k]: (total[k] + weight * middle) / (n[k] + weight) for k in np.flatnonzero(n >= least)}, middle
+
+
+def isotonic(grade: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (grade, expected level) of the rising step function nearest to the levels, by pooling neighbours that are out of order."""
+    order = np.argsort(grade, kind="stable")
+    blocks: list[list[float]] = []  # sum of levels, of grades, count
+    for g, y in zip(grade[order], level[order], strict=True):
+        blocks.append([float(y), float(g), 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][2] >= blocks[-1][0] * blocks[-2][2]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
+    return np.array([g / n for _, g, n in blocks]), np.array([y / n for y, _, n in blocks])
 
 
 @dataclass
@@ -202,37 +298,96 @@ class ReadingModel:
     vocabulary: dict[str, float]
     middle: float
     trees: Trees
-    cuts: np.ndarray
-    held_out: pd.DataFrame  # doc_id, source, level, grade of the folds' held-out texts
+    knots: tuple[np.ndarray, np.ndarray]
+    held_out: pd.DataFrame  # doc_id, source, level, and grade of the folds' held-out texts, calibrated on the other folds
 
     def grades(self, texts: list[str | None]) -> np.ndarray:
-        return self.trees.predict(np.stack([features(t, self.vocabulary, self.middle) for t in texts])) if len(texts) else np.empty(0)
+        words = Words()
+        t = Texts.of(texts, words)
+        return calibrated(self.trees.predict(features(t, words, words.levels(self.vocabulary), self.middle)), self.knots) if len(texts) else np.empty(0)
 
-    def levels(self, grade: np.ndarray) -> np.ndarray:
-        return 1 + np.searchsorted(self.cuts, grade, side="left")
 
+def calibrated(grade: np.ndarray, knots: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Grades on the scale of the levels; as they are without knots."""
+    return np.interp(grade, *knots) if len(knots[0]) else grade
 
-def fit(sample: pd.DataFrame, folds: int = FOLDS) -> ReadingModel:
-    """Fit on labelled texts (doc_id, source, text, level), sorted by doc_id for the same result in any order."""
+
+def level_of_grade(grade: np.ndarray, levels: int = 5) -> np.ndarray:
+    return np.clip(np.floor(grade + 0.5), 1, levels).astype(int)
+
+
+@dataclass
+class Sample:
+    """Labelled texts in flat form, and their features under the vocabulary of chosen texts."""
+
+    texts: Texts
+    words: Words
+    level: np.ndarray
+
+    def vocabulary(self, rows: np.ndarray) -> tuple[dict[str, float], float]:
+        part = self.texts.take(rows)
+        return vocabulary_of(part, self.level[rows], self.words)
+
+    def encoded(self, rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """Features of rows, words scored by the labels of by."""
+        vocabulary, middle = self.vocabulary(by)
+        return features(self.texts.take(rows), self.words, self.words.levels(vocabulary), middle)
+
+
+def held_out_grades(sample: Sample, fold: np.ndarray, outer: np.ndarray) -> np.ndarray:
+    """A grade of every text from a model that saw no label of the text's outer group.
+
+    The model's own texts are scored, fold by fold, by labels of the other folds and outside the outer group.
+    """
+    grade = np.full(len(outer), sample.level.mean() if len(outer) else 3.0)
+    for k in np.unique(outer):
+        mine, rest = np.flatnonzero(outer == k), np.flatnonzero(outer != k)
+        if not len(rest):
+            continue
+        x = np.zeros((len(rest), N_FEATURES))
+        for j in np.unique(fold[rest]):
+            at = np.flatnonzero(fold[rest] == j)
+            by = rest[fold[rest] != j]
+            x[at] = sample.encoded(rest[at], by if len(by) else rest)
+        grade[mine] = boost(x, sample.level[rest]).predict(sample.encoded(mine, rest))
+    return grade
+
+
+def _prepared(sample: pd.DataFrame, folds: int) -> tuple[pd.DataFrame, Sample, np.ndarray]:
     sample = sample.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    y = sample["level"].to_numpy(float)
-    sets = [set(words_of(t)[0]) for t in sample["text"]]
+    words = Words()
+    made = Sample(Texts.of(list(sample["text"]), words), words, sample["level"].to_numpy(float))
     # Folds are dealt by level and source in turn, so that each holds of every one.
     order = sample.assign(source=sample["source"].fillna("")).sort_values(["level", "source", "doc_id"], kind="stable").index.to_numpy()
-    fold = np.empty(len(y), int)
-    fold[order] = np.arange(len(y)) % folds
-    x, grade = np.zeros((len(y), N_FEATURES)), np.full(len(y), y.mean() if len(y) else 3.0)
-    for k in range(folds):
-        rest = np.flatnonzero(fold != k)
-        vocabulary, middle = vocabulary_of([sets[i] for i in rest], y[rest])
-        for i in np.flatnonzero(fold == k):
-            x[i] = features(sample["text"][i], vocabulary, middle)
-    for k in range(folds):
-        if (fold == k).any() and (fold != k).any():
-            grade[fold == k] = boost(x[fold != k], y[fold != k]).predict(x[fold == k])
-    vocabulary, middle = vocabulary_of(sets, y)
-    held = sample[["doc_id", "source", "level"]].assign(grade=grade)
-    return ReadingModel(vocabulary, middle, boost(x, y), best_cuts(grade, y.astype(int)), held)
+    fold = np.empty(len(sample), int)
+    fold[order] = np.arange(len(sample)) % folds
+    return sample, made, fold
+
+
+def fit(sample: pd.DataFrame, folds: int = FOLDS) -> ReadingModel:
+    """Fit on labelled texts (doc_id, source, text, level), sorted by doc_id for the same result in any order."""
+    sample, made, fold = _prepared(sample, folds)
+    grade = held_out_grades(made, fold, fold)
+    every = np.arange(len(sample))
+    x = np.zeros((len(sample), N_FEATURES))
+    for k in np.unique(fold):
+        x[fold == k] = made.encoded(every[fold == k], every[fold != k])
+    honest = np.empty(len(sample))
+    for k in np.unique(fold):
+        honest[fold == k] = calibrated(grade[fold == k], isotonic(grade[fold != k], made.level[fold != k]))
+    vocabulary, middle = made.vocabulary(every)
+    return ReadingModel(vocabulary, middle, boost(x, made.level), isotonic(grade, made.level), sample[["doc_id", "source", "level"]].assign(grade=honest))
+
+
+def by_source(sample: pd.DataFrame, folds: int = FOLDS) -> pd.DataFrame:
+    """doc_id, source, level and grade of labelled texts, each graded and calibrated without a label of its own source; few sources, so a model each."""
+    sample, made, fold = _prepared(sample, folds)
+    names, outer = np.unique(sample["source"].fillna("?").to_numpy(str), return_inverse=True)
+    raw = held_out_grades(made, fold, outer)
+    grade = np.empty(len(sample))
+    for k in range(len(names)):
+        grade[outer == k] = calibrated(raw[outer == k], isotonic(raw[outer != k], made.level[outer != k]))
+    return sample[["doc_id", "level"]].assign(source=names[outer] if len(names) else [], grade=grade)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> pd.DataFrame:
@@ -245,46 +400,67 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
 def graded(docs: DataFrame, model: ReadingModel) -> DataFrame:
     """(doc_id, grade, level, language) of every document. A null text or one without words gets null grade and level."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade double, level int, language string"
-    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.middle, model.trees, model.cuts))  # sized by the labelled sample
-
-    def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = ReadingModel(*shared.value, held_out=pd.DataFrame())
+    vocabulary, middle, trees, knots = model.vocabulary, model.middle, model.trees, model.knots  # sized by the labelled sample; sent with the function
+
+    def chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
+        part, size = [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t or "")
+            if size >= CHUNK:
+                yield part
+                part, size = [], 0
+        if part:
+            yield part
+
+    def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, levels = Words(), np.empty(0)
         for b in batches:
-            split = [words_of(t) for t in b["text"]]
-            words = [w for w, _ in split]
-            x = [features_of(w, sentences, (t or "").count(","), own.vocabulary, own.middle) for (w, sentences), t in zip(split, b["text"], strict=True)]
-            g = own.trees.predict(np.stack(x)) if x else np.empty(0)
-            some = np.array([bool(w) for w in words])
-            out = pd.DataFrame({"doc_id": b["doc_id"], "grade": np.where(some, g, np.nan), "level": pd.array(np.where(some, own.levels(g), 0), dtype="Int32"), "language": [language(w) for w in words]})
-            out.loc[~some, "level"] = pd.NA
-            yield out.astype({"grade": "Float64"}).assign(grade=lambda d: d["grade"].where(some))
-
-    return docs.select("doc_id", "text").mapInPandas(grade, schema)
-
-
-def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ReadingModel]:
+            done, lang = [], []
+            for texts in chunks(b.column(1).to_pylist()):
+                if len(words.words) > 500_000:  # of this worker only
+                    words, levels = Words(), np.empty(0)
+                t = Texts.of(texts, words)
+                levels = np.concatenate([levels, [vocabulary.get(w, np.nan) for w in words.words[len(levels) :]]])
+                g = calibrated(trees.predict(features(t, words, levels, middle)), knots)
+                done.append(np.where(t.count() > 0, g, np.nan))
+                lang += language(t, words)
+            g = np.concatenate(done) if done else np.empty(0)
+            none = np.isnan(g)
+            level = pa.array(level_of_grade(np.where(none, 1.0, g)), pa.int32(), mask=none)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(g, pa.float64(), mask=none), level, pa.array(lang, pa.string())], names=["doc_id", "grade", "level", "language"])
+
+    return docs.select("doc_id", "text").mapInArrow(grade, schema)
+
+
+def _sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, pd.DataFrame]:
     docs = read(spark, sf_dir, "documents")
-    return docs, fit(labelled_sample(docs, read(spark, sf_dir, "reading_labels")))
+    return docs, labelled_sample(docs, read(spark, sf_dir, "reading_labels"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, model = _model(spark, sf_dir)
+    docs, sample = _sample(spark, sf_dir)
     wanted = docs.where(F.length("text") >= 300).join(read(spark, sf_dir, "reading_labels").select("doc_id").distinct(), "doc_id", "left_anti")
-    return graded(wanted, model).where("language = 'en' and level is not null").select("doc_id", "level")
+    return graded(wanted, fit(sample)).where("language = 'en' and level is not null").select("doc_id", "level")
 
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grade and level of every document, whatever its length and language."""
-    docs, model = _model(spark, sf_dir)
-    return graded(docs, model)
+    docs, sample = _sample(spark, sf_dir)
+    return graded(docs, fit(sample))
 
 
 def p8_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out accuracy and error of the labelled sample by source."""
-    _, model = _model(spark, sf_dir)
-    held = model.held_out.assign(right=model.levels(model.held_out["grade"].to_numpy()) == model.held_out["level"], error=(model.held_out["grade"] - model.held_out["level"]).abs())
-    by = held.assign(source=held["source"].fillna("?")).groupby("source").agg(n=("right", "size"), accuracy=("right", "mean"), mean_error=("error", "mean")).reset_index()
-    return spark.createDataFrame([(r.source, int(r.n), float(r.accuracy), float(r.mean_error)) for r in by.itertuples()], "source string, n long, accuracy double, mean_error double")
+    """Accuracy and error on the labelled sample by source: texts held out by folds, and whole sources held out."""
+    _, sample = _sample(spark, sf_dir)
+
+    def report(held: pd.DataFrame, way: str) -> list[tuple]:
+        right = level_of_grade(held["grade"].to_numpy()) == held["level"].to_numpy()
+        by = held.assign(source=held["source"].fillna("?"), right=right, error=(held["grade"] - held["level"]).abs()).groupby("source").agg(n=("right", "size"), accuracy=("right", "mean"), mean_error=("error", "mean")).reset_index()
+        return [(way, r.source, int(r.n), float(r.accuracy), float(r.mean_error)) for r in by.itertuples()]
+
+    rows = [*report(fit(sample).held_out, "folds"), *report(by_source(sample), "sources")]
+    return spark.createDataFrame(rows, "held_out string, source string, n long, accuracy double, mean_error double")
 
 
 SQL: dict[str, str] = {}
