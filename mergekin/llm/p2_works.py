@@ -42,13 +42,16 @@ _AUTHOR_WORDS = 2
 _GRAM_WORDS = 4
 
 
-def _bits(tokens: Column, words: int) -> list[Column]:
-    """The hashed set of tokens as a bitmap of that many longs."""
-    h = F.transform(tokens, lambda t: F.xxhash64(t))
+def _hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def _bits(h: Column, words: int) -> list[Column]:
+    """A set of hashes as a bitmap of that many longs."""
 
     def word(w: int) -> Column:
-        mine = F.filter(h, lambda x: F.pmod(F.shiftright(x, 6), F.lit(words)) == w)
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+        return F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: F.when(F.pmod(F.shiftright(x, 6), F.lit(words)) == w, acc.bitwiseOR(bit(x))).otherwise(acc))
 
     return [word(w) for w in range(words)]
 
@@ -77,11 +80,12 @@ def venue_codes(pubs: DataFrame, venues: DataFrame) -> DataFrame:
 def author_signatures(people: DataFrame) -> DataFrame:
     """One row per publication: bitmaps of its authors' name words and letter pairs, and two sort keys. Of bounded size, however many authors it has."""
     words = F.filter(F.split(plain(F.regexp_replace("fullname", r"&\w+;", " ")), " "), lambda w: F.length(w) > 1)
-    rows = people.select("pub_id", words.alias("w")).where("pub_id is not null and size(w) > 0")
+    # Names without words stay in: a condition on the words would form them twice.
+    rows = people.where("pub_id is not null and fullname is not null").select("pub_id", words.alias("w"))
     longest = F.array_max(F.transform("w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).getField("w")
-    grams = F.array_distinct(F.flatten(F.transform("w", lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2))))))
-    bits = [c.alias(f"a{i}") for i, c in enumerate(_bits(F.col("w"), _AUTHOR_WORDS))] + [c.alias(f"g{i}") for i, c in enumerate(_bits(grams, _GRAM_WORDS))]
-    rows = rows.select("pub_id", longest.alias("key"), *bits)
+    grams = F.flatten(F.transform("w", lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
+    bits = [c.alias(f"a{i}") for i, c in enumerate(_bits(F.col("hw"), _AUTHOR_WORDS))] + [c.alias(f"g{i}") for i, c in enumerate(_bits(F.col("hg"), _GRAM_WORDS))]
+    rows = rows.select("pub_id", longest.alias("key"), _hashes(F.col("w")).alias("hw"), _hashes(grams).alias("hg")).select("pub_id", "key", *bits)
     ors = [F.bit_or(c).alias(c) for c in [*(f"a{i}" for i in range(_AUTHOR_WORDS)), *(f"g{i}" for i in range(_GRAM_WORDS))]]
     return rows.groupBy("pub_id").agg(F.min("key").alias("first_author"), F.max("key").alias("last_author"), *ors)
 
@@ -97,7 +101,8 @@ def prepared(pubs: DataFrame, people: DataFrame, venues: DataFrame) -> DataFrame
     )
     base = base.join(venue_codes(pubs, venues), "venue", "left").drop("venue")
     base = base.join(author_signatures(people).withColumnRenamed("pub_id", "id"), "id", "left")
-    return base.withColumns({f"t{i}": c for i, c in enumerate(_bits(F.col("words"), _TITLE_WORDS))})
+    base = base.withColumn("hashes", _hashes(F.col("words")))
+    return base.withColumns({f"t{i}": c for i, c in enumerate(_bits(F.col("hashes"), _TITLE_WORDS))}).drop("hashes")
 
 
 def _payload() -> list[str]:
@@ -261,23 +266,30 @@ def _near_word(x: Column, y: Column) -> Column:
     return letters & (slip | cut)
 
 
-def title_likeness(x: Column, y: Column) -> Column:
-    """Likeness of two titles given as arrays of plain words, null if either is empty.
+def with_title_likeness(pairs: DataFrame, x: str, y: str, name: str = "title") -> DataFrame:
+    """pairs with the likeness of two titles given as arrays of plain words, null if either is empty.
 
     Words left on both sides after equal, misspelt and abbreviated ones are paired mark different works (parts,
     subtitles) and weigh most; words missing on one side weigh less; joined, split or cut-off titles are compared by letter.
+    Every step is a column of its own, as the steps are used several times; equal titles skip them.
     """
-    la, lb = F.array_except(x, y), F.array_except(y, x)
-    ua = F.filter(la, lambda w: ~F.exists(lb, lambda v: _near_word(w, v)))
-    ub = F.filter(lb, lambda w: ~F.exists(la, lambda v: _near_word(w, v)))
-    both, extra = F.least(F.size(ua), F.size(ub)), F.abs(F.size(ua) - F.size(ub))
-    mean = (F.size(x) + F.size(y)) / 2.0
-    by_words = 1 - (1.5 * both + 0.5 * extra) / mean - F.when(both > 0, 0.25).otherwise(0.0)
-    fx, fy = F.array_join(x, ""), F.array_join(y, "")
-    numbers = F.array_sort(F.filter(x, lambda w: w.rlike(r"^(\d+|[ivx]+)$"))) == F.array_sort(F.filter(y, lambda w: w.rlike(r"^(\d+|[ivx]+)$")))
-    glued = numbers & (F.levenshtein(fx, fy, 3).between(0, 3)) & (F.least(F.length(fx), F.length(fy)) >= 12) & ((F.size(x) != F.size(y)) | (both == 0))
-    cut = (F.least(F.length(fx), F.length(fy)) >= 12) & (F.startswith(fx, fy) | F.startswith(fy, fx)) & (F.abs(F.size(x) - F.size(y)) > 1)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.when(fx == fy, 1.0).when(glued, 0.97).when(cut & numbers, F.greatest(by_words, F.lit(0.85))).otherwise(F.greatest(by_words, F.lit(0.0))))
+    x, y = F.col(x), F.col(y)
+    fx, fy, la, lb, nu, nv = (F.col(c) for c in ("_fx", "_fy", "_la", "_lb", "_nu", "_nv"))
+    numbers_of = lambda w: F.array_sort(F.filter(w, lambda t: t.rlike(r"^(\d+|[ivx]+)$")))
+    out = pairs.withColumns({"_fx": F.array_join(x, ""), "_fy": F.array_join(y, "")})
+    differ = fx != fy
+    out = out.withColumns({"_la": F.when(differ, F.array_except(x, y)), "_lb": F.when(differ, F.array_except(y, x))})
+    out = out.withColumns({
+        "_nu": F.when(differ, F.size(F.filter(la, lambda w: ~F.exists(lb, lambda v: _near_word(w, v))))), "_nv": F.when(differ, F.size(F.filter(lb, lambda w: ~F.exists(la, lambda v: _near_word(w, v))))),
+        "_same_numbers": F.when(differ, numbers_of(la) == numbers_of(lb)),
+    })
+    both, extra = F.least(nu, nv), F.abs(nu - nv)
+    by_words = 1 - (1.5 * both + 0.5 * extra) / ((F.size(x) + F.size(y)) / 2.0) - F.when(both > 0, 0.25).otherwise(0.0)
+    long = F.least(F.length(fx), F.length(fy)) >= 12
+    glued = F.col("_same_numbers") & (F.levenshtein(fx, fy, 3) >= 0) & long & ((F.size(x) != F.size(y)) | (both == 0))
+    cut = F.col("_same_numbers") & long & (F.startswith(fx, fy) | F.startswith(fy, fx)) & (F.abs(F.size(x) - F.size(y)) > 1)
+    likeness = F.when(~differ, 1.0).when(glued, 0.97).when(cut, F.greatest(by_words, F.lit(0.85))).otherwise(F.greatest(by_words, F.lit(0.0)))
+    return out.withColumn(name, F.when((F.size(x) > 0) & (F.size(y) > 0), likeness)).drop("_fx", "_fy", "_la", "_lb", "_nu", "_nv", "_same_numbers")
 
 
 def year_likeness(x: Column, y: Column) -> Column:
@@ -296,12 +308,13 @@ def scored_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     side = rows.dropDuplicates(["id"]).select("id", F.struct(*cols).alias("r"))
     both = pairs.join(side.withColumnsRenamed({"id": "a", "r": "x"}), "a").join(side.withColumnsRenamed({"id": "b", "r": "y"}), "b")
     both = both.withColumn("flat", F.array_join("x.words", "")).join(generic, "flat", "left")
-    title = title_likeness(F.col("x.words"), F.col("y.words"))
+    both = with_title_likeness(both, "x.words", "y.words")
     authors = (_set_likeness("a", _AUTHOR_WORDS) + F.pow(_set_likeness("g", _GRAM_WORDS), 2)) / 2
     venue = F.when(F.col("x.code").isNotNull() & F.col("y.code").isNotNull(), (F.col("x.code") == F.col("y.code")).cast("double"))
     # Columns recur under one title every few years, so there only the very year counts.
     years = year_likeness(F.col("x.year"), F.col("y.year"))
-    both = both.select("x", "y", F.coalesce(F.col("generic") & (title >= 0.8), F.lit(False)).alias("generic"), title.alias("title"), authors.alias("authors"), years.alias("year"), venue.alias("venue"))
+    both = both.select(F.col("x.is_a").alias("x_is_a"), F.col("x.rec").alias("x_rec"), F.col("y.rec").alias("y_rec"), "generic", "title", authors.alias("authors"), years.alias("year"), venue.alias("venue"))
+    both = both.withColumn("generic", F.coalesce(F.col("generic") & (F.col("title") >= 0.8), F.lit(False)))
     both = both.withColumn("year", F.when(F.col("generic") & (F.col("year") < 1), 0.0).otherwise(F.col("year")))
     weight = {f: F.when(F.col(f).isNull(), 0.0).when(F.col("generic"), GENERIC_WEIGHTS[f]).otherwise(w) for f, w in WEIGHTS.items()}
     total = sum(weight.values(), F.lit(0.0))
@@ -310,7 +323,7 @@ def scored_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     mean = mean - 0.1 * (1 - total / sum(WEIGHTS.values())) - F.when(F.col("title").isNull(), 0.05).otherwise(0.0)
     # Another venue, above all with another year, marks the later version of a paper.
     mean = mean - F.when((F.col("venue") == 0) & (F.coalesce("year", F.lit(0.0)) < 1), 0.25).when(F.col("venue") == 0, 0.12).otherwise(0.0)
-    out = both.select(F.when(F.col("x.is_a"), F.col("x.rec")).otherwise(F.col("y.rec")).alias("a_rec"), F.when(F.col("x.is_a"), F.col("y.rec")).otherwise(F.col("x.rec")).alias("b_rec"), mean.alias("confidence"))
+    out = both.select(F.when(F.col("x_is_a"), F.col("x_rec")).otherwise(F.col("y_rec")).alias("a_rec"), F.when(F.col("x_is_a"), F.col("y_rec")).otherwise(F.col("x_rec")).alias("b_rec"), mean.alias("confidence"))
     return out.groupBy("a_rec", "b_rec").agg(F.max("confidence").alias("confidence"))
 
 

@@ -70,5 +70,5 @@ def test_title_likeness(spark):
     pairs = [("a b c", "a b c", 1.0), ("merging large censuses experiments", "merging large censuses foundations", None), ("", "x", -1)]
     df = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string")
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    got = [r[0] for r in df.select(W.title_likeness(words(F.col("a")), words(F.col("b")))).collect()]
+    got = [r.title for r in W.with_title_likeness(df.select(words(F.col("a")).alias("x"), words(F.col("b")).alias("y")), "x", "y").collect()]
     assert got[0] == 1.0 and got[1] < 0.6 and got[2] is None
