@@ -1,34 +1,24 @@
-"""Order-0 arithmetic coding in exact fractions; only the number of bits is asked for."""
+"""The number of bits in which an order-0 arithmetic coder tells a text."""
 
 from __future__ import annotations
 
 from collections import Counter
-from fractions import Fraction
+from math import prod
 
 _STOP = "\x00"
 
 
-def train(text: str) -> dict[str, tuple[Fraction, Fraction]]:
-    """Each character's share of the unit interval, the end mark counted once; NUL must not occur in text."""
+def train(text: str) -> Counter:
+    """How often each character occurs, the end mark once; NUL must not occur in text."""
     if _STOP in text:
         raise ValueError("the end mark occurs in the text")
-    counts = Counter(text)
-    counts[_STOP] = 1
-    total, upto, out = counts.total(), 0, {}
-    for c, n in counts.items():
-        out[c] = (Fraction(upto, total), Fraction(upto + n, total))
-        upto += n
-    return out
+    return Counter(text + _STOP)
 
 
-def bits(text: str, shares: dict[str, tuple[Fraction, Fraction]]) -> int:
-    """Bits needed to tell the text and its end: the width of its interval only depends on the shares' sizes."""
-    half = Fraction(1, 2)
-    for c in text + _STOP:
-        lo, hi = shares[c]
-        half *= hi - lo
-    n = 0
-    while half < 1:
-        half *= 2
-        n += 1
-    return n
+def bits(text: str, counts: Counter) -> int:
+    """Bits needed to tell the text and its end: the least n for which 2^-n is half the interval's width or less, the width being the product of the shares."""
+    if unknown := set(text) - set(counts):
+        raise KeyError(min(unknown))
+    told = text + _STOP
+    width, whole = prod(counts[c] for c in told), counts.total() ** len(told)
+    return (-(-2 * whole // width) - 1).bit_length()

@@ -93,12 +93,15 @@ def sort_winkler(a: str, b: str) -> float:
 
 
 @_contract
-def perm_winkler(a: str, b: str, most_words: int = 5) -> float:
-    """The best Winkler score over all word orders; strings of more words than most_words are sorted instead."""
-    x, y = a.split(), b.split()
-    if max(len(x), len(y)) > most_words:
-        return sort_winkler(a, b)
-    return max(winkler(" ".join(p), " ".join(q)) for p in permutations(x) for q in permutations(y))
+def perm_winkler(a: str, b: str) -> float:
+    """The best Winkler score over all word orders of both strings. The orders of n words are n!, all of which are tried until one scores 1."""
+    best = 0.0
+    for p in permutations(a.split()):
+        for q in permutations(b.split()):
+            best = max(best, winkler(" ".join(p), " ".join(q)))
+            if best >= 1.0:
+                return best
+    return best
 
 
 @_contract

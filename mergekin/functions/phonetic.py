@@ -52,44 +52,24 @@ def mod_soundex(s: str, maxlen: int = 4) -> str:
 PHONEX_FIRST = {"eiouy": "a", "p": "b", "v": "f", "kq": "c", "j": "g", "z": "s"}
 
 
+#: What happens to a name before it is coded.
+PHONEX_START = [(r"s+$", ""), (r"^(?:kn|wr)", lambda m: m.group()[1]), (r"^ph", "f"), (r"^h", "")]
+#: Digit of every letter by what stands around it; m and n take the d and g after them along.
+PHONEX_DIGITS = [(r"[mn][dg]*", "5"), (r"[dt](?=[^c])", "3"), (r"l(?![^aeiouy])", "4"), (r"r(?![^aeiouy])", "6"), (r"[bfpv]", "1"), (r"[cskgjqxz]", "2"), (r"[^1-6]", "0")]
+
+
 def phonex(s: str, maxlen: int = 4) -> str:
-    s = s.rstrip("s")
-    if s[:2] in ("kn", "wr"):
-        s = s[1:]
-    elif s[:2] == "ph":
-        s = "f" + s[2:]
-    s = s.removeprefix("h")
+    """Digits by context; the second letter falls away if it sounds like the first, further on a digit that follows itself does, vowels or not."""
+    for pattern, to in PHONEX_START:
+        s = re.sub(pattern, to, s)
     if not s:
         return _nothing(maxlen)
     first = next((to for group, to in PHONEX_FIRST.items() if s[0] in group), s[0])
-    letters = [first, *s[1:]]
-    code = ""
-    last = ""
-    for i, c in enumerate(letters):
-        after = letters[i + 1] if i + 1 < len(letters) else ""
-        open_after = not after or after in "aeiouy"
-        digit = "0"
-        if c in "bfpv":
-            digit = "1"
-        elif c in "cskgjqxz":
-            digit = "2"
-        elif c in "dt" and after and after != "c":
-            digit = "3"
-        elif c == "l" and open_after:
-            digit = "4"
-        elif c in "mn":
-            digit = "5"
-            if after and after in "dg":
-                letters[i + 1] = c
-        elif c == "r" and open_after:
-            digit = "6"
-        if i == 0:
-            code, last = c, digit
-            continue
-        if digit not in ("0", last):
-            code += digit
-        last = code[-1]
-    return _fit(code, maxlen)
+    digits = first + s[1:]
+    for pattern, digit in PHONEX_DIGITS:
+        digits = re.sub(pattern, lambda m, digit=digit: digit * len(m.group()), digits)
+    rest = digits[2:] if digits[1:2] == digits[0] else digits[1:]
+    return _fit(first + _runs(rest.replace("0", "")), maxlen)
 
 
 #: Gadd's replacements, in order: place, letters, replacement (- for none) and, where it matters, what has to stand before and after
@@ -227,36 +207,29 @@ def phonix(s: str, maxlen: int = 4) -> str:
     return _fit(first + _runs(t[1:].replace(" ", "").translate(_PHONIX)).replace("0", ""), maxlen)
 
 
-#: Endings and inner letter groups that are replaced, the latter in this order and not at the very beginning where marked.
-NYSIIS_ENDINGS = {"ix": "ic", "ex": "ec", "ye": "y", "ee": "y", "ie": "y", "dt": "d", "rt": "d", "rd": "d", "nt": "n", "nd": "n"}
-NYSIIS_INNER = [
-    ("aw", "a", 0), ("ght", "gt", 0), ("dg", "g", 0), ("ph", "f", 0), ("ah", "a", 1), ("ha", "a", 1), ("kn", "n", 0), ("k", "c", 0),
-    ("m", "n", 1), ("q", "g", 1), ("sh", "s", 0), ("sch", "s", 0), ("yw", "y", 0), ("wr", "r", 0),
+#: Replacements in the order they are made, before and after vowels become a; (?<=.) is any place but the first, and a single letter is also its own end.
+NYSIIS_ENDS = [(r"[sz]+$", ""), (r"^mac", "mc"), (r"^pf", "f"), (r"n[td]$", "n"), (r"(?:dt|rt|rd)$", "d"), (r"[yei]e$", "y"), (r"(?<=[ie])x$", "c")]
+NYSIIS_STEPS = [
+    (r"[eiou]", "a"), (r" ", ""), (r"aw", "a"), (r"ght", "gt"), (r"dg", "g"), (r"ph", "f"), (r"(?<=.)ah", "a"), (r"(?<=.)ha", "a"), (r"kn", "n"), (r"k", "c"), (r"(?<=.)m", "n"), (r"(?<=.)q", "g"),
+    (r"sh", "s"), (r"sch", "s"), (r"yw", "y"), (r"wr", "r"), (r"^(.)$", r"\1\1"), (r"(?<=.)y(?=.)", "a"), (r"(?<=.)z", "s"), (r"ay$", "y"), (r"a+$", ""), (r"(.)\1+", r"\1"),
 ]
 
 
 def nysiis(s: str, maxlen: int = 4) -> str:
-    s = s.rstrip("sz")
-    if s.startswith("mac"):
-        s = "mc" + s[3:]
-    elif s.startswith("pf"):
-        s = s[1:]
-    s = s[:-2] + NYSIIS_ENDINGS.get(s[-2:], s[-2:])
-    if "ev" in s[2:]:
-        s = s[:-2] + s[2:].replace("ev", "ef")  # the whole but two letters, then the rest once more: kept as the scheme's users know it
-    first = s[:1]
-    t = re.sub(r"[eiou]", "a", s).replace(" ", "")
-    if not t:
-        return ""
-    for letters, to, keep in NYSIIS_INNER:
-        t = t[:keep] + t[keep:].replace(letters, to)
-    t = t[0] + t[1:-1].replace("y", "a") + (t[-1] if len(t) > 1 else t[0])
-    t = t[0] + t[1:].replace("z", "s")
-    if t.endswith("ay"):
-        t = t[:-2] + "y"
-    code = _runs(t.rstrip("a"))
-    if first in "aeiou":
-        code = first + code[1:]
+    """All replacements in order; a vowel at the beginning stays what it was.
+
+    One habit is kept as the users of the scheme know it: where ev stands after the first two letters, the name without its last two
+    letters is followed by the name without its first two, in which ev is ef.
+    """
+    for pattern, to in NYSIIS_ENDS:
+        s = re.sub(pattern, to, s)
+    if s.find("ev", 2) >= 0:
+        s = s[:-2] + s[2:].replace("ev", "ef")
+    code = s
+    for pattern, to in NYSIIS_STEPS:
+        code = re.sub(pattern, to, code)
+    if s[:1] in ("a", "e", "i", "o", "u"):
+        code = s[0] + code[1:]
     return code[:maxlen] if maxlen > 0 else code
 
 
