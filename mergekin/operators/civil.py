@@ -19,7 +19,7 @@ CANDIDATES: dict[tuple[str, str], tuple[bool, tuple[str, ...]]] = {
     ("Dd", "Ds"): (False, ("spouse",)), ("Dd", "Dp"): (False, ("spouse",)), ("Ds", "Dp"): (False, ("spouse",)), ("Dp", "Dp"): (False, ("spouse",)), ("Ds", "Ds"): (False, ()),
 }
 #: Role pairs whose parents are paired even where the two are not the same person but may be siblings.
-SIBLINGS = [("Bb", "Mm"), ("Bb", "Dd"), ("Mm", "Dd")]
+SIBLINGS = [("Bb", "Mm"), ("Bb", "Dd"), ("Mm", "Dd"), ("Mm", "Mm")]
 
 
 def link_of(role1: Column, role2: Column) -> Column:

@@ -114,10 +114,29 @@ def match_weights(pairs: DataFrame, attributes: list[str]) -> DataFrame:
     return sums.select("attr", m.alias("m"), u.alias("u"), log(m, u).alias("w_agree"), log(1 - m, 1 - u).alias("w_disagree"))
 
 
+#: Links of the civil pipeline by the number of links among the relatives of both people; all others come alone.
+ARITIES = {
+    4: ["Mm-Dd", "Mm-Ds", "Mbp-Dp", "Mgp-Dp"],
+    3: ["Bb-Mm", "Bp-Mbp", "Bp-Mgp", "Bb-Dd", "Bp-Dp", "Mm-Mm", "Mbp-Mbp", "Mgp-Mgp"],
+    2: ["Bp-Bp", "Bp-Mm", "Bp-Dd", "Bp-Ds", "Mm-Mbp", "Mm-Mgp", "Mm-Dp", "Mbp-Dd", "Mbp-Ds", "Mgp-Dd", "Mgp-Ds", "Dd-Ds", "Dd-Dp", "Ds-Dp", "Dp-Dp"],
+}
+
+
 def link_arity(link: Column) -> Column:
     """How many links of relatives come with a link of the civil pipeline."""
-    # Links by the number of links among the relatives of both people.
-    four = ["Mm-Dd", "Mm-Ds", "Mbp-Dp", "Mgp-Dp"]
-    three = ["Bb-Mm", "Bp-Mbp", "Bp-Mgp", "Bb-Dd", "Bp-Dp", "Mm-Mm", "Mbp-Mbp", "Mgp-Mgp"]
-    two = ["Bp-Bp", "Bp-Mm", "Bp-Dd", "Bp-Ds", "Mm-Mbp", "Mm-Mgp", "Mm-Dp", "Mbp-Dd", "Mbp-Ds", "Mgp-Dd", "Mgp-Ds", "Dd-Ds", "Dd-Dp", "Ds-Dp", "Dp-Dp"]
-    return F.when(link.isin(four), 4).when(link.isin(three), 3).when(link.isin(two), 2).otherwise(1)
+    out = F.lit(1)
+    for n, links in ARITIES.items():
+        out = F.when(link.isin(links), n).otherwise(out)
+    return out
+
+
+#: Priorities of a first merge in the civil pipeline: the links' arity and the size of the group, in the order in which groups come.
+PRIORITIES = {(4, 4): 1, (4, 3): 2, (3, 3): 3, (3, 2): 4, (2, 2): 5}
+
+
+def bootstrap_priority(arity: Column, size: Column) -> Column:
+    """The bucket of a group of that many nodes whose links have that arity; null for groups that are not merged first."""
+    out = F.lit(None).cast("int")
+    for (a, n), k in PRIORITIES.items():
+        out = F.when((arity == a) & (size == n), k).otherwise(out)
+    return out

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergekin.config import Rule, comparator_of
+from mergekin.functions import phonetic
 from mergekin.functions.columns import abs_difference, edit_dist, encode_udf, similarity
 
 Compare = Callable[[Column, Column], Column]
@@ -27,11 +29,11 @@ def value_blocks(values: DataFrame, key: str | Callable[[Column], Column] = "dme
     return words.join(coded, "w").where("block != ''").select("v", "block").distinct()
 
 
-def alike_values(left: DataFrame, right: DataFrame | None, attribute: str, column: str, min_sim: float, text: str | Compare = "sortwinkler", key: str | Callable[[Column], Column] = "dmetaphone4") -> DataFrame:
+def alike_values(left: DataFrame, right: DataFrame | None, attribute: str, column: str, min_sim: float, text: str | Compare = "sortwinkler", key: str | Callable[[Column], Column] = "dmetaphone4", blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(attr, v1, v2, sim) of distinct values of left and right that share a block and are at least min_sim alike.
 
     With right None the values are compared among themselves, each pair once with v1 < v2; equal values are alike without a look.
-    The comparator only sees distinct pairs.
+    The comparator only sees distinct pairs.  blocks: makes (v, block) of (v) in place of the phonetic keys of words.
     """
     a = left.select(F.col(column).cast("string").alias("v")).where("v is not null").distinct()
     b = a if right is None else right.select(F.col(column).cast("string").alias("v")).where("v is not null").distinct()
@@ -41,7 +43,8 @@ def alike_values(left: DataFrame, right: DataFrame | None, attribute: str, colum
         x = a.where(F.col("v").try_cast("double").isNotNull()).select("v", reach.alias("block"))
         y = b.where(F.col("v").try_cast("double").isNotNull()).select("v", F.floor(F.col("v").try_cast("double")).cast("long").alias("block"))
     else:
-        x, y = value_blocks(a, key), value_blocks(b, key)
+        blocked = blocks or (lambda df: value_blocks(df, key))
+        x, y = blocked(a), blocked(b)
     pairs = x.withColumnRenamed("v", "v1").join(y.withColumnRenamed("v", "v2"), "block").select("v1", "v2")
     pairs = pairs.where("v1 < v2" if right is None else "v1 != v2").distinct()
     scored = pairs.withColumn("sim", _compare(attribute, text)(F.col("v1"), F.col("v2"))).where(F.col("sim") >= min_sim)
@@ -49,6 +52,39 @@ def alike_values(left: DataFrame, right: DataFrame | None, attribute: str, colum
     return same.unionByName(scored).select(F.lit(attribute).alias("attr"), "v1", "v2", "sim")
 
 
+def phrase_keys(values: DataFrame, code: str = "dmetaphone4") -> DataFrame:
+    """(v, block): each distinct value under the set of its words' phonetic codes and under that set less any one code.
+
+    Phrases of many common words share a block only if all their words but one sound alike, so a block stays small where a word's own would
+    hold a large part of the values.  Words of three letters or fewer do not count where there are longer ones.  A phrase of one word has its
+    code only.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, known = phonetic.encoder(code), {}
+        for x in batches:
+            v, block = [], []
+            for value in x.column(0).to_pylist():
+                codes, words = set(), value.split()
+                for w in [w for w in words if len(w) > 3] or words:
+                    if w not in known:
+                        known[w] = encode(w)
+                    codes.add(known[w])
+                codes = sorted(codes - {""})
+                sets = [codes, *(codes[:i] + codes[i + 1 :] for i in range(len(codes)) if len(codes) > 1)]
+                for one in sets if codes else []:
+                    v.append(value)
+                    block.append(" ".join(one))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()), pa.array(block, pa.string())], names=["v", "block"])
+
+    return values.select("v").mapInArrow(keys, "v string, block string")
+
+
+def alike_phrases(left: DataFrame, right: DataFrame | None, attribute: str, column: str, min_sim: float, text: str | Compare = "sortwinkler", code: str = "dmetaphone4") -> DataFrame:
+    """alike_values for texts of several words, under phrase_keys()."""
+    return alike_values(left, right, attribute, column, min_sim, text, blocks=lambda df: phrase_keys(df, code))
+
+
 def alike_by_edits(values: DataFrame, min_sim: float) -> DataFrame:
     """(v1, v2) of all values v, in both orders and each with itself, that edit_dist finds at least min_sim alike; min_sim above 0.5.
 
@@ -100,10 +136,24 @@ def pair_evidence(left: DataFrame, right: DataFrame, atomic: DataFrame, attribut
     pairs = pairs.groupBy("r1", "r2").agg(*[F.max(f"_{a}_sim").alias(f"_{a}_sim") for a in drive])
     sims = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(f"_{a}_sim").alias("sim")) for a in drive])).alias("x")
     found = pairs.select("r1", "r2", sims).select("r1", "r2", "x.attr", "x.sim")
-    if not rest:
-        return found
-    more = pairs.select("r1", "r2").join(_values(left, id_column, rest, "r1", "v1"), "r1").join(_values(right, id_column, rest, "r2", "v2"), ["r2", "attr"]).join(both, ["attr", "v1", "v2"])
-    return found.unionByName(more.groupBy("r1", "r2", "attr").agg(F.max("sim").alias("sim")))
+    return found.unionByName(evidence_of(pairs, left, right, atomic, rest, id_column)) if rest else found
+
+
+def evidence_of(pairs: DataFrame, left: DataFrame, right: DataFrame, atomic: DataFrame, attributes: list[str], id_column: str = "id") -> DataFrame:
+    """(r1, r2, attr, sim) of given pairs: the best alike pair of values that their records hold in each attribute. A record may have several rows."""
+    more = pairs.select("r1", "r2").join(_values(left, id_column, attributes, "r1", "v1"), "r1").join(_values(right, id_column, attributes, "r2", "v2"), ["r2", "attr"]).join(_both_ways(atomic), ["attr", "v1", "v2"])
+    return more.groupBy("r1", "r2", "attr").agg(F.max("sim").alias("sim"))
+
+
+def addable_pairs(evidence: DataFrame) -> DataFrame:
+    """(r1, r2): pairs with any evidence at all, as are let in while values propagate."""
+    return evidence.where("sim > 0").select("r1", "r2").distinct()
+
+
+def list_average(a: Column, b: Column, compare: Compare) -> Column:
+    """Mean of the positive similarities of all pairs of values from two arrays; 0 if there are none."""
+    sims = F.filter(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: compare(x, y)))), lambda v: v > 0)
+    return F.when(F.size(sims) > 0, F.aggregate(sims, F.lit(0.0), lambda acc, v: acc + v) / F.size(sims)).otherwise(0.0)
 
 
 def driving(rule: Rule) -> list[str] | None:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mergekin.session import stash
+from mergekin.session import drop, stash
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -25,10 +25,12 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     while True:
         arcs = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select("b", "a"))
         low = arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = stash(arcs.join(low, "u").where("v > u and v > m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large")
+        old, e = e, stash(arcs.join(low, "u").where("v > u and v > m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large")
+        drop(old)
         low = e.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         hung = e.select(F.col("b").alias("u"), F.col("a").alias("v")).join(low, "u").select("v", "m").unionAll(low.select("u", "m"))
-        e = stash(hung.where("v > m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "small")
+        old, e = e, stash(hung.where("v > m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "small")
+        drop(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break
@@ -68,7 +70,8 @@ def one_to_one(pairs: DataFrame, score: str = "sim", left: str = "r1", right: st
         rank = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(F.desc("s"), "l", "r"))
         best = stash(rest.withColumn("kl", rank("l")).withColumn("kr", rank("r")).where("kl = 1 and kr = 1").select("l", "r", "s"), "taken")
         taken = best if taken is None else taken.unionByName(best)
-        rest = stash(rest.join(best.select("l"), "l", "left_anti").join(best.select("r"), "r", "left_anti"), "pairs")
+        old, rest = rest, stash(rest.join(best.select("l"), "l", "left_anti").join(best.select("r"), "r", "left_anti"), "pairs")
+        drop(old)
     taken = rest if taken is None else taken
     return taken.select(F.col("l").alias(left), F.col("r").alias(right), F.col("s").alias(score))
 
@@ -159,26 +162,41 @@ def greedy_groups(nodes: DataFrame, merge_t: float, singles_t: float | None = No
     return marked.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda pdf: link_component(pdf, merge_t, singles_t, types, year_gap, strict), schema)
 
 
+def bootstrap_groups(nodes: DataFrame, bootstrap_t: float, spread: float = 0.2) -> DataFrame:
+    """nodes of the groups that are sure enough to be merged first: two nodes at least, their mean at least bootstrap_t and none more than spread below it."""
+    sure = nodes.groupBy("group_id").agg(F.count("*").alias("_n"), F.avg("sim").alias("_mean"), F.min("sim").alias("_least"))
+    sure = sure.where((F.col("_n") >= 2) & (F.col("_mean") >= bootstrap_t) & (F.col("_least") >= bootstrap_t - spread)).select("group_id")
+    return nodes.join(sure, "group_id", "left_semi")
+
+
+def without_used(nodes: DataFrame, merged: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """nodes whose groups hold no record of the one-to-one types that has been merged already."""
+    ends = lambda df: df.where(F.col("link").isin(*types))
+    used = ends(merged).select(F.explode(F.array("r1", "r2")).alias("r")).distinct()
+    touched = ends(nodes).select("group_id", F.explode(F.array("r1", "r2")).alias("r")).join(used, "r", "left_semi").select("group_id").distinct()
+    return nodes.join(touched, "group_id", "left_anti")
+
+
 def membership(merged: DataFrame) -> DataFrame:
     """(record, entity) of the merged pairs, the entity being the least record linked to it."""
     return components(merged, "r1", "r2").select(F.col("v").alias("record"), F.col("component").alias("entity"))
 
 
-def dependency_linkage(nodes: DataFrame, edges: DataFrame, merge_t: float, rounds: int = 50) -> DataFrame:
+def dependency_linkage(nodes: DataFrame, edges: DataFrame, merge_t: float) -> DataFrame:
     """(node, score, merged): the dependency-graph baseline. A node merges once 0.9 of its attribute score plus 0.1 for each merged strong
-    and 0.05 for each merged weak neighbour reaches merge_t; only nodes next to new merges are looked at again.
+    and 0.05 for each merged weak neighbour reaches merge_t; only nodes next to new merges are looked at again, until there are none.
 
     nodes: (node, sim_attr); edges: (src, dst, strong boolean), src supporting dst.  Scores only rise, so the result does not depend on the order.
     """
     state = stash(nodes.select("node", "sim_attr", (F.col("sim_attr") * 0.9).alias("score"), (F.col("sim_attr") * 0.9 >= merge_t).alias("merged")), "state")
-    fresh = state.where("merged").select(F.col("node").alias("src"))
-    for _ in range(rounds):
-        if fresh.isEmpty():
-            break
+    fresh = stash(state.where("merged").select(F.col("node").alias("src")), "fresh")
+    while not fresh.isEmpty():
         gain = edges.join(fresh, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.when(F.col("strong"), 0.1).otherwise(0.05)).alias("gain"))
-        moved = stash(state.join(gain, "node", "left").select("node", "sim_attr", (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"), F.col("merged").alias("was")), "state")
-        fresh = stash(moved.where(~F.col("was") & (F.col("score") >= merge_t)).select(F.col("node").alias("src")), "fresh")
-        state = moved.select("node", "sim_attr", "score", (F.col("was") | (F.col("score") >= merge_t)).alias("merged"))
+        moved = state.join(gain, "node", "left").select("node", "sim_attr", (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"), F.col("merged").alias("was"))
+        old, state = state, stash(moved.withColumn("merged", F.col("was") | (F.col("score") >= merge_t)), "state")
+        drop(old)
+        old, fresh = fresh, stash(state.where("merged and not was").select(F.col("node").alias("src")), "fresh")
+        drop(old)
     return state.select("node", "score", "merged")
 
 

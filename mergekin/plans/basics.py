@@ -122,7 +122,7 @@ def native_comparators(spark: SparkSession, d: str) -> DataFrame:
 def all_comparators(spark: SparkSession, d: str) -> DataFrame:
     """Every comparator, by name, on every distinct name pair: long form."""
     pairs = _name_pairs(spark, d)
-    names = [n for n in compare.COMPARATORS if n != "permwinkler"] + ["jaro-winkler", "bigram-winkler"]
+    names = [*compare.COMPARATORS, "jaro-winkler", "bigram-winkler"]
 
     def score(batches):
         import pandas as pd

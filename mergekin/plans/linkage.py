@@ -234,7 +234,7 @@ def refined_household_pairs(spark: SparkSession, d: str) -> DataFrame:
     best = G.one_to_one(nodes.where("role in ('F', 'M')"), "sim")
     members = G.membership(best)
     people, _ = _census(spark, d)
-    return G.related_pairs(members, household_relations(people), nodes.select("r1", "r2", "sim"), 0.8, ()).select("r1", "r2", "relation")
+    return G.related_pairs(members, household_relations(people), nodes.select("r1", "r2", "sim"), 0.8).select("r1", "r2", "relation")
 
 
 def census_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -323,7 +323,41 @@ _HOUSEHOLDS = f"""
 _MEASURES = """CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CASE WHEN tp + fp > 0 THEN round(tp * 100.0::DOUBLE / (tp + fp), 2) ELSE 0.0 END AS precision,
     CASE WHEN tp + fn > 0 THEN round(tp * 100.0::DOUBLE / (tp + fn), 2) ELSE 0.0 END AS recall, CASE WHEN tp + fp + fn > 0 THEN round(tp * 100.0::DOUBLE / (tp + fp + fn), 2) ELSE 0.0 END AS f_star"""
 
+
+
+def sql_one_to_one(pairs: str) -> str:
+    """CTEs o (numbered pairs, best first) and g (the greedy matching, a pair a step) of a relation pairs (l, r, s)."""
+    return f"""o AS (SELECT row_number() OVER (ORDER BY s DESC, l, r) AS k, l, r, s FROM (SELECT l, r, max(s) AS s FROM {pairs} WHERE l IS NOT NULL AND r IS NOT NULL GROUP BY l, r)),
+    g AS (SELECT o.k, o.l, o.r, o.s, true AS ok, [o.l] AS ul, [o.r] AS ur FROM o WHERE k = 1 UNION ALL
+        SELECT k, l, r, s, ok, CASE WHEN ok THEN list_append(ul, l) ELSE ul END, CASE WHEN ok THEN list_append(ur, r) ELSE ur END
+        FROM (SELECT o.k, o.l, o.r, o.s, g.ul, g.ur, NOT (list_contains(g.ul, o.l) OR list_contains(g.ur, o.r)) AS ok FROM g JOIN o ON o.k = g.k + 1))"""
+
+
+_CENSUS_TRUTH = """
+    lk AS (SELECT DISTINCT concat_ws('-', year_1, serial_1, pernum_1) AS a, concat_ws('-', year_2, serial_2, pernum_2) AS b FROM kept WHERE serial_1 IS NOT NULL AND serial_2 IS NOT NULL AND linktype <> '9'),
+    t AS (SELECT DISTINCT role || '-' || role AS link, least(a, b) AS a, greatest(a, b) AS b FROM lk JOIN people ON people.id = lk.a WHERE role IS NOT NULL)"""
+
+
+def _sql_quality(found: str) -> str:
+    """The measures by link of relations found and t (link, a, b)."""
+    return f"""f AS (SELECT DISTINCT link, least(a, b) AS a, greatest(a, b) AS b FROM {found}), fo AS (SELECT link, count(*) FILTER (x AND y) AS tp, count(*) FILTER (NOT y) AS fp, count(*) FILTER (NOT x) AS fn
+        FROM (SELECT coalesce(f.link, t.link) AS link, f.a IS NOT NULL AS x, t.a IS NOT NULL AS y FROM f FULL JOIN t ON f.link = t.link AND f.a = t.a AND f.b = t.b) GROUP BY 1) SELECT link, {_MEASURES} FROM fo"""
+
+
 SQL = {
+    "matched_publications": f"WITH RECURSIVE {_BIB}, pairs AS (SELECT r1 AS l, r2 AS r, score AS s FROM pp), {sql_one_to_one('pairs')} SELECT l AS r1, r AS r2, s AS score FROM g WHERE ok",
+    "linked_households": f"""
+        WITH RECURSIVE {_CENSUS}, {_HOUSEHOLDS}, pairs AS (SELECT serial_1 AS l, serial_2 AS r, round(count(*) + avg(round(sim, 6)), 9) AS s FROM hp GROUP BY 1, 2), {sql_one_to_one('pairs')}
+        SELECT l AS serial_1, r AS serial_2, s AS score FROM g WHERE ok""",
+    "refined_household_pairs": f"""
+        WITH RECURSIVE {_CENSUS}, {_HOUSEHOLDS}, pairs AS (SELECT r1 AS l, r2 AS r, round(sim, 6) AS s FROM hp WHERE role IN ('F', 'M')), {sql_one_to_one('pairs')},
+        rel AS (SELECT a.id AS record, b.id AS other, CASE WHEN a.role <> 'C' AND b.role <> 'C' THEN 'spouse' WHEN a.role = 'C' AND b.role = 'M' THEN 'mother' WHEN a.role = 'C' AND b.role = 'F' THEN 'father' WHEN a.role <> 'C' THEN 'child' ELSE 'sibling' END AS relation
+            FROM people a JOIN people b ON a.census_year = b.census_year AND a.serial = b.serial AND a.id <> b.id WHERE a.role IS NOT NULL AND b.role IS NOT NULL)
+        SELECT DISTINCT hp.r1, hp.r2, x.relation FROM g JOIN rel x ON x.record = g.l JOIN rel y ON y.record = g.r AND y.relation = x.relation JOIN hp ON hp.r1 = x.other AND hp.r2 = y.other
+        WHERE g.ok AND (x.relation IN ('mother', 'father') OR round(hp.sim, 6) >= 0.8)""",
+    "census_quality": f"""
+        WITH RECURSIVE {_CENSUS}, {_HOUSEHOLDS}, {_CENSUS_TRUTH}, pairs AS (SELECT r1 AS l, r2 AS r, round(sim, 6) AS s FROM hp), {sql_one_to_one('pairs')},
+        found AS (SELECT role || '-' || role AS link, l AS a, r AS b FROM g JOIN people ON people.id = g.l WHERE ok), {_sql_quality('found')}""",
     "linked_parts": _PART + """, m AS (SELECT *, (CASE WHEN size >= 0.5 THEN size ELSE 0 END) AS core FROM s WHERE name >= 0.75),
         w AS (SELECT r1, r2, CASE WHEN price >= 0.5 THEN 0.2 * core + 0.6 * name + 0.2 * price ELSE 0.3 * core + 0.7 * name END AS sim FROM m)
         SELECT r1, r2, round(sim, 6) AS score FROM w WHERE sim >= 0.6""",

@@ -10,6 +10,7 @@ from mergekin.functions.columns import encode_udf
 from mergekin.functions.maths import WordOrders
 from mergekin.operators import civil, graphs
 from mergekin.plans.basics import _code, _sql_standard
+from mergekin.plans.linkage import sql_one_to_one
 from mergekin.session import read, stash
 from mergekin.sources import registers, sinks, tables
 from mergekin.streaming.arrivals import latest_deliveries
@@ -55,17 +56,24 @@ def matched_songs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _certificates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Households as certificates: births (child with parents) of the first census and marriages (the couple) of the second."""
+    """Households as certificates: a birth for every child (with its parents) of the first census, and a marriage for every couple of the second."""
     c = read(spark, d, "couples_csv").dropDuplicates(["couple_id"])
 
-    def member(n: int, relate: str, sex: str | None, prefix: str) -> DataFrame:
+    def members(n: int, relate: str, sex: str | None, prefix: str) -> DataFrame:
         rows = c.where((S.census_text(f"relate_{n}").isin(relate.split())) & (F.lit(True) if sex is None else S.census_text(f"sex_{n}") == sex))
-        rows = rows.groupBy(F.col(f"serial_{n}").alias("serial")).agg(F.min_by(F.struct(f"namefrst_{n}", f"namelast_{n}", f"age_{n}", f"sex_{n}"), f"pernum_{n}").alias("p"))
-        return rows.select("serial", F.col(f"p.namefrst_{n}").alias(f"{prefix}_fname"), F.col(f"p.namelast_{n}").alias(f"{prefix}_sname"), S.census_text(f"p.age_{n}").alias(f"{prefix}_age"), F.when(S.census_text(f"p.sex_{n}") == "1", "m").otherwise("f").alias(f"{prefix}_gender"))
-
-    births = member(1, "3", None, "child").join(member(1, "1 2", "2", "mother"), "serial", "left").join(member(1, "1 2", "1", "father"), "serial", "left")
-    births = births.select(F.concat(F.lit("b"), F.col("serial").cast("string")).alias("cert_id"), F.concat(F.lit("1/6/"), (1870 - F.coalesce(F.col("child_age").try_cast("int"), F.lit(0))).cast("string")).alias("event_date"), *[x for x in births.columns if x != "serial"])
-    weddings = member(2, "1 2", "2", "bride").join(member(2, "1 2", "1", "groom"), "serial")
+        named = [F.col(f"namefrst_{n}").alias(f"{prefix}_fname"), F.col(f"namelast_{n}").alias(f"{prefix}_sname"), S.census_text(f"age_{n}").alias(f"{prefix}_age"), F.when(S.census_text(f"sex_{n}") == "1", "m").otherwise("f").alias(f"{prefix}_gender")]
+        return rows.select(F.col(f"serial_{n}").alias("serial"), F.col(f"pernum_{n}").alias("p"), F.col("couple_id").alias("c"), *named)
+
+    def parent(n: int, relate: str, sex: str, prefix: str) -> DataFrame:
+        """One of a household: the first listed."""
+        m = members(n, relate, sex, prefix)
+        kept = [x for x in m.columns if x.startswith(prefix)]
+        return m.groupBy("serial").agg(F.min_by(F.struct(*kept), F.struct("p", "c")).alias("m")).select("serial", "m.*")
+
+    births = members(1, "3", None, "child").join(parent(1, "1 2", "2", "mother"), "serial", "left").join(parent(1, "1 2", "1", "father"), "serial", "left")
+    born = F.concat(F.lit("1/6/"), (1870 - F.coalesce(F.col("child_age").try_cast("int"), F.lit(0))).cast("string"))
+    births = births.select(F.concat(F.lit("b"), F.col("c").cast("string")).alias("cert_id"), born.alias("event_date"), *[x for x in births.columns if x not in ("serial", "p", "c")])
+    weddings = parent(2, "1 2", "2", "bride").join(parent(2, "1 2", "1", "groom"), "serial")
     weddings = weddings.select(F.concat(F.lit("m"), F.col("serial").cast("string")).alias("cert_id"), F.lit("1/6/1880").alias("event_date"), *[x for x in weddings.columns if x != "serial"])
     return births, weddings
 
@@ -140,7 +148,32 @@ QUERIES = {
 }
 
 _PUNCT = r"[!-/:-@\[-`{-~]"
+
+
+def _sql_parent(n: int, sex: str, name: str) -> str:
+    """The first listed adult of that sex of each household: names and whether there is one."""
+    return f"""{name} AS (SELECT serial_{n} AS serial, arg_min({_sql_standard(f'namefrst_{n}')}, (pernum_{n}, couple_id)) AS a_f, arg_min({{'f': {_sql_standard(f'namefrst_{n}')}, 's': {_sql_standard(f'namelast_{n}')}}}, (pernum_{n}, couple_id)) AS v
+        FROM c WHERE {_code(f'relate_{n}')} IN ('1', '2') AND {_code(f'sex_{n}')} = '{sex}' GROUP BY serial_{n})"""
+
+
+_SET = "coalesce(to_json(list_sort(list(DISTINCT {0}) FILTER ({0} IS NOT NULL)))::VARCHAR, '[]')"
 SQL = {
+    "entity_documents": f"""
+        WITH p AS (SELECT DISTINCT id, entity_id, {_sql_standard('fname')} AS fname, {_sql_standard('sname')} AS sname FROM people_dict WHERE entity_id IS NOT NULL)
+        SELECT entity_id AS entity, '{{"size":' || count(*) || ',"fname":' || {_SET.format('fname')} || ',"sname":' || {_SET.format('sname')} || '}}' AS json FROM p GROUP BY entity_id""",
+    "certificate_people": f"""
+        WITH c AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM couples_csv), {_sql_parent(1, '2', 'mo')}, {_sql_parent(1, '1', 'fa')}, {_sql_parent(2, '2', 'br')}, {_sql_parent(2, '1', 'gr')},
+        b AS (SELECT CASE WHEN {_code('sex_1')} = '1' THEN 'M' ELSE 'F' END AS sex, coalesce({_sql_standard('namefrst_1')}, {_sql_standard('namelast_1')}) IS NOT NULL AS child,
+                     coalesce(mo.v.f, mo.v.s) IS NOT NULL AS mother, coalesce(fa.v.f, fa.v.s) IS NOT NULL AS father FROM c LEFT JOIN mo ON mo.serial = serial_1 LEFT JOIN fa ON fa.serial = serial_1 WHERE {_code('relate_1')} = '3'),
+        w AS (SELECT coalesce(br.v.f, br.v.s) IS NOT NULL AS bride, coalesce(gr.v.f, gr.v.s) IS NOT NULL AS groom FROM br JOIN gr USING (serial)),
+        p AS (SELECT 'birth' AS kind, 'Bb' AS role, sex, mother, father, false AS child, false AS spouse FROM b WHERE child UNION ALL SELECT 'birth', 'Bp', 'F', false, false, child, father FROM b WHERE mother
+              UNION ALL SELECT 'birth', 'Bp', 'M', false, false, child, mother FROM b WHERE father UNION ALL SELECT 'marriage', 'Mm', 'F', false, false, false, groom FROM w WHERE bride
+              UNION ALL SELECT 'marriage', 'Mm', 'M', false, false, false, bride FROM w WHERE groom)
+        SELECT kind, role, sex, count(*) AS n, count(*) FILTER (mother) AS mother, count(*) FILTER (father) AS father, count(*) FILTER (child) AS child, count(*) FILTER (spouse) AS spouse FROM p GROUP BY kind, role, sex""",
+    "matched_songs": f"""
+        WITH RECURSIVE s AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN '10' ELSE '20' END || CAST(p_partkey AS VARCHAR) AS id, p_partkey % 2 AS side, {_sql_standard('p_name')} AS title, {_sql_standard('p_type')} AS artist, p_size + 1950 AS year, p_size * 60 + 5 AS length FROM part),
+        pairs AS (SELECT x.id AS l, y.id AS r, 1 - abs(x.year - y.year) / 10.0::DOUBLE - abs(x.length - y.length) / 100000.0::DOUBLE AS s FROM s x JOIN s y ON x.side = 0 AND y.side = 1 AND x.title = y.title AND x.artist = y.artist AND abs(x.year - y.year) <= 2),
+        {sql_one_to_one('pairs')} SELECT l AS r1, r AS r2 FROM g WHERE ok""",
     "bibliographic_authors": rf"""
         WITH n AS (SELECT DISTINCT pub_id, author_no, replace(fullname, ',', '') AS fullname FROM people_dict WHERE fullname IS NOT NULL),
         a AS (SELECT pub_id, string_agg(fullname, ', ' ORDER BY author_no, fullname) AS authors FROM n GROUP BY pub_id), p AS (SELECT DISTINCT id, year FROM publication_dict),

@@ -1,5 +1,5 @@
 """The modules whose queries the driver runs."""
 
-from mergekin.plans import basics, linkage, records, reports
+from mergekin.plans import basics, bibliography, linkage, records, reports, truths
 
-MODULES = [linkage, basics, records, reports]
+MODULES = [linkage, bibliography, basics, records, reports, truths]

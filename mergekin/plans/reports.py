@@ -11,6 +11,7 @@ from mergekin.operators import evaluate as V
 from mergekin.operators import graphs as G
 from mergekin.plans.basics import _code
 from mergekin.plans.linkage import _CENSUS, _MEASURES, _census, _edit, _mad
+from mergekin.predicates import CIVIL_LINKS
 from mergekin.session import read, stash
 
 
@@ -20,7 +21,10 @@ def people_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def year_trend(spark: SparkSession, d: str) -> DataFrame:
-    return V.yearly_trend(read(spark, d, "publication_dict"), F.col("year"), 1970, 2030)
+    """Publications a year, over every year from the first to the last that is known."""
+    p = read(spark, d, "publication_dict").where("year > 0")
+    span = p.agg(F.coalesce(F.min("year"), F.lit(1)).alias("a"), F.coalesce(F.max("year"), F.lit(0)).alias("b")).first()
+    return V.yearly_trend(p, F.col("year"), span.a, span.b)
 
 
 def linked_age_gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -119,10 +123,10 @@ def trimmed_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sparse_records(spark: SparkSession, d: str) -> DataFrame:
-    """Members of thinly linked groups of labelled pairs that the density rule removes."""
-    v = stash(read(spark, d, "valid").where("label = 1 and ltable_id is not null and rtable_id is not null").select((F.col("ltable_id") * 2).alias("r1"), (F.col("rtable_id") * 2 + 1).alias("r2")).distinct(), "pairs")
-    groups = G.components(v, "r1", "r2").select(F.col("v").alias("r1"), F.col("component").alias("entity"))
-    return G.sparse_members(v.join(groups, "r1").select("entity", "r1", "r2"))
+    """The members that the density rule removes from thinly linked groups: nations (from 0) and order priorities (below 0) that orders of a month link."""
+    o = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    return G.sparse_members(o.select(month.alias("entity"), F.col("c_nationkey").cast("int").alias("r1"), (-F.substring("o_orderpriority", 1, 1).cast("int")).alias("r2")))
 
 
 def bridged_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -152,8 +156,6 @@ def role_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def link_arities(spark: SparkSession, d: str) -> DataFrame:
-    from mergekin.predicates import CIVIL_LINKS
-
     links = F.explode(F.array(*[F.lit(x) for x in CIVIL_LINKS])).alias("link")
     return read(spark, d, "region").where("r_regionkey = 0").select(links).select("link", V.link_arity(F.col("link")).alias("arity"))
 
@@ -188,7 +190,7 @@ _REACH = """
 
 SQL = {
     "people_types": f"WITH {_CENSUS} SELECT role, sex, count(*) AS n FROM (SELECT coalesce(role, '-') AS role, coalesce(sex, '-') AS sex FROM people) GROUP BY ROLLUP (role, sex)",
-    "year_trend": "SELECT CAST(y AS INTEGER) AS year, (SELECT count(*) FROM publication_dict p WHERE p.year = y) AS n FROM range(1970, 2031) t(y)",
+    "year_trend": "WITH s AS (SELECT min(year) AS a, max(year) AS b FROM publication_dict WHERE year > 0), y AS (SELECT unnest(range(a, b + 1)) AS y FROM s) SELECT CAST(y AS INTEGER) AS year, (SELECT count(*) FROM publication_dict p WHERE p.year = y) AS n FROM y",
     "linked_age_gaps": "SELECT gap, count(*) AS n FROM (SELECT abs(a - b) AS gap FROM (SELECT DISTINCT couple_id, TRY_CAST(age_1 AS DOUBLE) AS a, TRY_CAST(age_2 AS DOUBLE) AS b FROM couples_csv)) WHERE gap IS NOT NULL GROUP BY gap",
     "venue_description": "SELECT count(venue) AS n, count(*) - count(venue) AS missing, count(DISTINCT venue) AS distinct_values, min(venue) AS least, max(venue) AS most FROM publication_dict",
     "feed_counts": "SELECT feed, count(*) AS n FROM publication_dict GROUP BY feed",
@@ -212,6 +214,7 @@ SQL = {
         WITH l AS ({_LINKED}), a AS (SELECT serial_1, pernum_1, {", ".join(f"{_known(f, 1)} AS {f}" for f in _FS)} FROM l), b AS (SELECT serial_1, pernum_1, {", ".join(f"{_known(f, 2)} AS {f}" for f in _FS)} FROM l), s AS ({_AGREE}),
         k AS (SELECT attr, count(*) FILTER (matched AND same)::DOUBLE / count(*) FILTER (matched) AS m, count(*) FILTER (NOT matched AND same)::DOUBLE / nullif(count(*) FILTER (NOT matched), 0) AS u FROM s WHERE same IS NOT NULL GROUP BY attr)
         SELECT attr, round(m, 6) AS m, round(u, 6) AS u, round(CASE WHEN m > 0 AND u > 0 THEN log10(m / u) END, 6) AS w_agree, round(CASE WHEN m < 1 AND u < 1 THEN log10((1 - m) / (1 - u)) END, 6) AS w_disagree FROM k""",
+    "link_arities": "SELECT link, CASE " + " ".join(f"WHEN link IN ({', '.join(repr(x) for x in links)}) THEN {n}" for n, links in V.ARITIES.items()) + f" ELSE 1 END AS arity FROM (SELECT unnest([{', '.join(repr(x) for x in CIVIL_LINKS)}]) AS link)",
     "label_quality": f"""
         WITH v AS (SELECT 2 * ltable_id AS a, 2 * rtable_id + 1 AS b, decided_at FROM valid WHERE label = 1 AND ltable_id IS NOT NULL AND rtable_id IS NOT NULL), n AS (SELECT least(a, b) AS a, greatest(a, b) AS b, month(decided_at) AS mo FROM v),
         f AS (SELECT DISTINCT a, b FROM n WHERE mo <= 3), t AS (SELECT DISTINCT a, b FROM n WHERE mo >= 3), c AS (SELECT (SELECT count(*) FROM f JOIN t USING (a, b)) AS tp, (SELECT count(*) FROM f) AS nf, (SELECT count(*) FROM t) AS nt), d AS (SELECT tp, nf - tp AS fp, nt - tp AS fn FROM c)
@@ -224,11 +227,13 @@ SQL = {
     "trimmed_orders": """
         WITH r AS (SELECT o_custkey, o_orderkey, avg(o_totalprice) OVER w AS m, row_number() OVER w AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
         b AS (SELECT o_custkey, max(CASE WHEN m >= 200000 THEN k END) AS keep FROM r GROUP BY o_custkey) SELECT o_custkey, o_orderkey FROM r JOIN b USING (o_custkey) WHERE keep >= 2 AND k <= keep""",
-    "sparse_records": f"""
-        WITH RECURSIVE {_REACH}, d AS (SELECT m.entity, u AS record, count(*) AS degree FROM arcs JOIN m ON m.record = arcs.u GROUP BY m.entity, u), s AS (SELECT *, count(*) OVER w AS n, sum(degree) OVER w AS ends, min(degree) OVER w AS low FROM d WINDOW w AS (PARTITION BY entity)),
-        t AS (SELECT *, sum(CAST(degree = low AS INTEGER)) OVER (PARTITION BY entity) AS lows FROM s) SELECT entity, record FROM t WHERE n >= 4 AND ends::DOUBLE / (n * (n - 1)) <= 0.3 AND degree = low AND lows = 1""",
+    "sparse_records": """
+        WITH e AS (SELECT DISTINCT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS entity, CAST(c_nationkey AS INTEGER) AS a, -CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS b FROM orders JOIN customer ON o_custkey = c_custkey),
+        d AS (SELECT entity, record, count(*) AS degree FROM (SELECT entity, a AS record FROM e UNION ALL SELECT entity, b FROM e) GROUP BY entity, record),
+        s AS (SELECT *, count(*) OVER w AS n, sum(degree) OVER w AS ends, min(degree) OVER w AS low FROM d WINDOW w AS (PARTITION BY entity)), t AS (SELECT *, sum(CAST(degree = low AS INTEGER)) OVER (PARTITION BY entity) AS lows FROM s)
+        SELECT entity, record FROM t WHERE n >= 4 AND ends::DOUBLE / (n * (n - 1)) <= 0.3 AND degree = low AND lows = 1""",
     "entity_link_counts": f"""
-        WITH RECURSIVE {_REACH}, s AS (SELECT entity FROM m GROUP BY entity HAVING count(*) <= 12), j AS (SELECT a.record AS x, b.record AS y FROM m a JOIN m b USING (entity) JOIN s USING (entity) WHERE a.record < b.record)
+        WITH RECURSIVE {_REACH}, j AS (SELECT a.record AS x, b.record AS y FROM m a JOIN m b USING (entity) WHERE a.record < b.record)
         SELECT CASE WHEN x % 2 = 0 AND y % 2 = 0 THEN 'A-A' WHEN x % 2 = 1 AND y % 2 = 1 THEN 'B-B' ELSE 'A-B' END AS link, count(*) AS n FROM j GROUP BY 1""",
     "role_shares": f"""
         WITH RECURSIVE {_REACH}, r AS (SELECT DISTINCT 2 * ltable_id AS record, 'A' AS role FROM valid WHERE ltable_id IS NOT NULL AND rtable_id IS NOT NULL UNION SELECT DISTINCT 2 * rtable_id + 1, 'B' FROM valid WHERE ltable_id IS NOT NULL AND rtable_id IS NOT NULL),

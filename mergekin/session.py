@@ -62,4 +62,15 @@ def stash(df: DataFrame, name: str = "stage") -> DataFrame:
     root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._mergekin_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a stashed table that nothing will read again, as the last round's state of a loop; other tables are left alone."""
+    path = getattr(df, "_mergekin_path", None)
+    if path is not None:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
