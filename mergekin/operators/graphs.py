@@ -98,12 +98,13 @@ def link_component(pdf: pd.DataFrame, merge_t: float, singles_t: float | None, o
     groups = []
     for gid, members in groupby(rows, key=lambda n: n.group_id):
         g = list(members)
-        groups.append((-len(g), -sum(n.sim for n in g) / len(g), min(min(n.r1, n.r2) for n in g), gid, g))
+        size = int(g[0].size) if hasattr(g[0], "size") else len(g)  # of the group at the start, where nodes have been barred since
+        groups.append((-size, -sum(n.sim for n in g) / len(g), min(min(n.r1, n.r2) for n in g), gid, g))
     parent: dict = {}
     years: dict = {}
     used: set = set()
     out = []
-    for *_, gid, g in sorted(groups, key=lambda x: x[:4]):
+    for size, *_, gid, g in sorted(groups, key=lambda x: x[:4]):
         fit = []
         within: set = set()
         for n in g:
@@ -116,7 +117,7 @@ def link_component(pdf: pd.DataFrame, merge_t: float, singles_t: float | None, o
             fit.append(n)
             if n.link in one_to_one_types:
                 within |= {n.r1, n.r2}
-        if len(g) == 1:
+        if size == -1:
             keep = fit if singles_t is not None and fit and fit[0].sim >= singles_t else []
         else:
             keep, total = [], 0.0
@@ -144,8 +145,9 @@ def greedy_groups(nodes: DataFrame, merge_t: float, singles_t: float | None = No
     """(group_id, r1, r2, link, sim, entity) of the node pairs that the greedy linker merges.
 
     nodes: (group_id, r1, r2, link, sim, year1, year2), ids long.  Groups conflict if they share a record; the components of that relation are
-    independent, and each is linked by the plain loop in one task, which gives exactly the sequential result.  A component has to fit a task;
-    one larger than that should go through one_to_one(), whose rounds have no such bound.
+    independent, and each is linked by the plain loop in one task, which gives exactly the sequential result.  Components of more than task_rows
+    nodes go through rounds of groups that come before all they share a record with, which gives the same result without a bound on a component; with
+    year_gap, where groups also meet through entities, they are refused.
     """
     nodes = stash(nodes.select("group_id", "r1", "r2", "link", "sim", F.col("year1").cast("long").alias("year1"), F.col("year2").cast("long").alias("year2")), "nodes")
     parts = components(nodes, "r1", "r2")
@@ -154,14 +156,49 @@ def greedy_groups(nodes: DataFrame, merge_t: float, singles_t: float | None = No
     span = marked.groupBy("group_id").agg(F.min("component").alias("g_part"))
     joined = marked.select("group_id", "component").distinct().join(span, "group_id").select(F.col("component").alias("src"), F.col("g_part").alias("dst"))
     top = components(joined).select(F.col("component").alias("part"), F.col("v").alias("component"))
-    marked = marked.join(top, "component").drop("component")
+    marked = stash(marked.join(top, "component").drop("component"), "marked")
     types = set(one_to_one_types)
-    schema = f"group_id {nodes.schema['group_id'].dataType.simpleString()}, r1 long, r2 long, link string, sim double, entity long"
-    # Components are independent, so many small ones share a task: a call per component would cost more than its work.
-    buckets = max(8, nodes.count() // task_rows)
+    sizes = stash(marked.groupBy("part").agg(F.count("*").alias("n")), "sizes")
+    large = sizes.where(F.col("n") > task_rows).select("part")
+    if large.isEmpty():
+        return _linked(marked, merge_t, singles_t, types, year_gap, strict, task_rows)
+    if year_gap is not None:
+        raise ValueError("a component of conflicting groups is larger than task_rows; with year_gap it has to fit into a task")
+    whole = _linked(marked.join(large, "part", "left_anti"), merge_t, singles_t, types, None, strict, task_rows).drop("entity")
+    rounds = _in_rounds(marked.join(large, "part", "left_semi"), merge_t, singles_t, types, strict, task_rows)
+    merged = stash(whole.unionByName(rounds), "merged")
+    return merged.join(membership(merged).withColumnRenamed("record", "r1"), "r1").select(*whole.columns, "entity")
+
+
+def _linked(marked: DataFrame, merge_t: float, singles_t: float | None, types: set[str], year_gap: int | None, strict: bool, task_rows: int) -> DataFrame:
+    """link_component on parts that are independent of each other. Many small ones share a task: a call per part would cost more than its work."""
+    schema = f"group_id {marked.schema['group_id'].dataType.simpleString()}, r1 long, r2 long, link string, sim double, entity long"
+    buckets = max(8, marked.count() // task_rows)
     return marked.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda pdf: link_component(pdf, merge_t, singles_t, types, year_gap, strict), schema)
 
 
+def _in_rounds(nodes: DataFrame, merge_t: float, singles_t: float | None, types: set[str], strict: bool, task_rows: int) -> DataFrame:
+    """(group_id, r1, r2, link, sim) merged in rounds: a group is due once it precedes every group left with which it shares a record."""
+    order = nodes.groupBy("group_id").agg(F.count("*").alias("n"), F.avg("sim").alias("mean"), F.min(F.least("r1", "r2")).alias("first"))
+    order = order.select("group_id", F.struct((-F.col("n")).alias("n"), (-F.col("mean")).alias("mean"), "first", F.col("group_id").alias("g")).alias("place"))
+    rest = stash(nodes.drop("part").join(order.withColumn("size", -F.col("place.n")), "group_id"), "rest")
+    merged = None
+    while not rest.isEmpty():
+        ends = rest.select("group_id", "place", F.explode(F.array("r1", "r2")).alias("r")).distinct()
+        waits = ends.join(ends.groupBy("r").agg(F.min("place").alias("least")), "r").where("place != least").select("group_id").distinct()
+        due = stash(rest.join(waits, "group_id", "left_anti").withColumn("part", F.col("group_id")), "due")
+        # Of a group whose other nodes were barred, what is left still counts as a group: the size that bars single pairs is that of the start.
+        done = stash(_linked(due.drop("place"), merge_t, singles_t, types, None, strict, task_rows).drop("entity"), "done")
+        merged = done if merged is None else merged.unionByName(done)
+        used = done.where(F.col("link").isin(*types)).select(F.explode(F.array("r1", "r2")).alias("r")).distinct()
+        left = rest.join(due.select("group_id").distinct(), "group_id", "left_anti")
+        barred = F.col("link").isin(*types) & (F.col("u1").isNotNull() | F.col("u2").isNotNull())
+        left = left.join(used.select(F.col("r").alias("r1"), F.lit(True).alias("u1")), "r1", "left").join(used.select(F.col("r").alias("r2"), F.lit(True).alias("u2")), "r2", "left").where(~barred).drop("u1", "u2")
+        old, rest = rest, stash(left.select(*rest.columns), "rest")
+        drop(old)
+    return merged if merged is not None else nodes.select("group_id", "r1", "r2", "link", "sim")
+
+
 def bootstrap_groups(nodes: DataFrame, bootstrap_t: float, spread: float = 0.2) -> DataFrame:
     """nodes of the groups that are sure enough to be merged first: two nodes at least, their mean at least bootstrap_t and none more than spread below it."""
     sure = nodes.groupBy("group_id").agg(F.count("*").alias("_n"), F.avg("sim").alias("_mean"), F.min("sim").alias("_least"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergekin import standardise as S
-from mergekin.config import rule
+from mergekin.config import rule, rules
 from mergekin.functions import columns as C
 from mergekin.operators import evidence as E
 from mergekin.operators import graphs as G
@@ -221,6 +221,48 @@ def household_pairs(spark: SparkSession, d: str) -> DataFrame:
     return good.select(F.col("id_1").alias("r1"), F.col("id_2").alias("r2"), "role", "serial_1", "serial_2", F.round("sim", 6).alias("sim"))
 
 
+def _rule_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(people, links, pairs (r1, r2, role, sim)) of persons of the two censuses under the rule for households, with alike names.
+
+    Pairs arise from alike surnames with alike first names, or with equal birthplace and a birth year within the comparator's reach; so a surname
+    or birthplace that very many persons have does not pair them all.  An unknown birthplace is no evidence.
+    """
+    people, links = _census(spark, d)
+    people = stash(people.where("role is not null and sname is not null"), "people")
+    r = rules()["def_hh_link"]
+    x, y = (people.where(F.col("census_year") == k).select("id", "role", "sname", "fname", "bpl", "race", F.col("birth_year").cast("string").alias("birth_year"), "state", "occ") for k in (1870, 1880))
+    values = E.alike_values(x, y, "sname", "sname", r.must.min_sim).unionByName(E.alike_values(x, y, "fname", "fname", r.must.min_sim)).unionByName(E.alike_values(x, y, "birth_year", "birth_year", r.core.min_sim))
+    for c in ("bpl", "race", "state", "occ"):  # codes are alike if they are equal
+        both = x.select(c).join(y.select(c), c).distinct()
+        values = values.unionByName(both.select(F.lit(c).alias("attr"), F.col(c).alias("v1"), F.col(c).alias("v2"), F.lit(1.0).alias("sim")))
+    values = stash(values, "values")
+    drive = lambda *a: E.pair_evidence(x, y, values, list(a), drive=list(a)).select("r1", "r2")
+    pairs = stash(drive("sname", "fname").unionByName(drive("sname", "bpl", "birth_year")).distinct(), "pairs")
+    roles = people.select("id", "role")
+    pairs = pairs.join(roles.select(F.col("id").alias("r1"), "role"), "r1").join(roles.select(F.col("id").alias("r2"), F.col("role").alias("role2")), "r2").where("role = role2").select("r1", "r2", "role")
+    evidence = stash(E.evidence_of(pairs, x, y, values, list(r.category_of())), "evidence")
+    scored = E.accepted_pairs(evidence, r).select("r1", "r2").join(E.weighted_scores(evidence, r), ["r1", "r2"])
+    return people, links, stash(pairs.join(scored, ["r1", "r2"]).select("r1", "r2", "role", F.col("sim_attr").alias("sim")), "household-nodes")
+
+
+def rule_household_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Person pairs of the two censuses under the rule for households."""
+    return _rule_pairs(spark, d)[2].select("r1", "r2", "role", F.round("sim", 6).alias("sim"))
+
+
+def rule_census_quality(spark: SparkSession, d: str) -> DataFrame:
+    """How the rule for households finds the persons that the census table itself links: all candidates, and one to one in groups of households."""
+    people, links, pairs = _rule_pairs(spark, d)
+    of = people.select("id", "serial")
+    found = pairs.join(of.select(F.col("id").alias("r1"), F.col("serial").alias("s1")), "r1").join(of.select(F.col("id").alias("r2"), F.col("serial").alias("s2")), "r2")
+    # Every further pair of the same two households supports a pair.
+    support = found.groupBy("s1", "s2").agg(F.count_distinct("r1").alias("n"))
+    chosen = G.one_to_one(found.join(support, ["s1", "s2"]).withColumn("score", F.round(F.col("sim") + 0.1 * F.least(F.col("n") - 1, F.lit(5)), 9)), "score").select("r1", "r2")
+    known = links.join(people.select(F.col("id").alias("a"), "role"), "a").select("a", "b")
+    tell = lambda df, name: df.select(F.lit(name).alias("link"), *[F.col(c).alias(n) for c, n in zip(df.columns[:2], ("a", "b"), strict=True)])
+    return quality(tell(pairs, "candidates").unionByName(tell(chosen, "linked")), tell(known, "candidates").unionByName(tell(known, "linked")))
+
+
 def linked_households(spark: SparkSession, d: str) -> DataFrame:
     """Household pairs by the number and mean of their person pairs, one to one."""
     nodes = household_pairs(spark, d)
@@ -258,7 +300,7 @@ QUERIES = {
     "author_pairs": author_pairs, "matched_publications": matched_publications, "linked_bibliography": linked_bibliography, "trimmed_bibliography": trimmed_bibliography, "bibliography_groups": bibliography_groups,
     "dependency_bibliography": dependency_bibliography, "translated_truth": translated_truth, "link_quality": link_quality, "name_frequencies": name_frequencies, "name_variations": name_variations,
     "clustered_names": clustered_names, "census_people": census_people, "household_relatives": household_relatives, "household_pairs": household_pairs, "linked_households": linked_households,
-    "refined_household_pairs": refined_household_pairs, "census_quality": census_quality, "unique_people": unique_people,
+    "refined_household_pairs": refined_household_pairs, "census_quality": census_quality, "rule_household_pairs": rule_household_pairs, "rule_census_quality": rule_census_quality, "unique_people": unique_people,
 }
 
 

@@ -113,6 +113,20 @@ def test_trimming_and_linking(spark):
     assert merged == {(1, 11), (2, 12), (5, 15)}
 
 
+def test_a_component_larger_than_a_task_is_linked_alike(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(120):
+        for k in range(rng.randint(1, 4)):
+            rows.append((g, rng.randrange(60), 1000 + rng.randrange(60), "P" if k == 0 else rng.choice("PA"), rng.randrange(70, 101) / 100, None, None))
+    rows = [*{(r[0], r[1], r[2]): r for r in rows}.values()]
+    df = spark.createDataFrame(rows, "group_id long, r1 long, r2 long, link string, sim double, year1 long, year2 long")
+    whole = {tuple(r) for r in G.greedy_groups(df, 0.85, 0.9, ("P",)).collect()}
+    assert whole and {tuple(r) for r in G.greedy_groups(df, 0.85, 0.9, ("P",), task_rows=40).collect()} == whole
+    with pytest.raises(ValueError):
+        G.greedy_groups(df, 0.85, 0.9, ("P",), year_gap=2, task_rows=40)
+
+
 def test_bridges_and_density(spark):
     tri = [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6)]
     assert G.bridges_of(tri) == {(3, 4)}
