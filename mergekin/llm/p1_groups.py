@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergekin.session import read, stash
+from mergekin.session import drop, read, stash
 
 
 def _edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -69,7 +69,8 @@ def compress_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.col("s").alias("cs"), F.col("t").alias("ct"), F.col("cs").alias("xs"), F.col("ct").alias("xt"), F.col("open").alias("xopen"), F.col("least").alias("xleast")
         )
         moved = state.where("open").join(nxt, ["cs", "ct"]).select("s", "t", F.col("xs").alias("cs"), F.col("xt").alias("ct"), F.col("xopen").alias("open"), F.least("least", "xleast").alias("least"))
-        state = stash(state.where("not open").unionByName(moved), "chain")
+        old, state = state, stash(state.where("not open").unionByName(moved), "chain")
+        drop(old)
         n_open, rounds = state.where("open").count(), rounds - 1
     per_vertex = state.groupBy(F.col("t").alias("child")).agg(
         F.min(F.when(~F.col("open"), F.col("ct"))).alias("e1"), F.max(F.when(~F.col("open"), F.col("ct"))).alias("e2"), F.min("least").alias("least")
@@ -102,7 +103,10 @@ def star_contract(edges: DataFrame) -> DataFrame:
     edges = stash(edges, "core")
     before = mark(edges)
     while True:
-        edges = stash(star(stash(star(edges, False), "core"), True), "core")
+        large = stash(star(edges, False), "core")
+        old, edges = edges, stash(star(large, True), "core")
+        drop(large)
+        drop(old)
         after = mark(edges)
         if after == before:
             return edges.select(F.col("b").alias("v"), F.col("a").alias("label"))
@@ -112,8 +116,8 @@ def star_contract(edges: DataFrame) -> DataFrame:
 def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", shrink: float = 0.7) -> DataFrame:
     """(v long, label long): every vertex of pairs with one label per connected component.
 
-    pairs: two long columns a and b; other columns are ignored, whatever their names. Null ids and
-    are dropped with their pair; repeated and mirrored pairs count once; a pair of a vertex with itself makes
+    pairs: two long columns a and b; other columns are ignored, whatever their names.  Null ids are
+    dropped with their pair; repeated and mirrored pairs count once; a pair of a vertex with itself makes
     that vertex a group of its own; an empty table gives an empty result.  The label is some vertex of the group.
     shrink: rake-and-compress goes on while a round leaves less than this share of the edges.
     """

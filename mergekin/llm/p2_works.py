@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mergekin.llm.p3_names import deletes
-from mergekin.session import read, stash
+from mergekin.session import drop, read, stash
 from mergekin.standardise import is_missing, plain, plain_or_null
 
 #: Rows compared with each row's predecessors in every sort order.
@@ -359,7 +359,9 @@ def assign(edges: DataFrame, epsilon: float = 0.01) -> DataFrame:
         won = stash(won, "bids")
         if won.isEmpty():
             break
-        held = stash(held.join(won.select("b_rec"), "b_rec", "left_anti").unionByName(won), "held")
+        old, held = held, stash(held.join(won.select("b_rec"), "b_rec", "left_anti").unionByName(won), "held")
+        drop(old)
+        drop(won)
         prices = held.select("b_rec", "price")
     winners = held.select("a_rec", "b_rec").join(open_, ["a_rec", "b_rec"])
     return settled.unionByName(winners.select("a_rec", "b_rec", "confidence"))

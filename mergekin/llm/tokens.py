@@ -7,6 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +35,14 @@ def counter(path: str):
 
 def with_token_counts(docs: DataFrame, keep: list[str], text: str = "text", path: str = TOKENIZER) -> DataFrame:
     """The columns keep and n_tokens (long) of every row; a null or empty text has 0 tokens. Whole texts, in Arrow batches."""
+    if os.path.exists(path):  # goes to the executors, which need no copy at that place
+        docs.sparkSession.sparkContext.addFile(path)
     kept = docs.select(*keep, F.coalesce(text, F.lit("")).alias("_text"))
     schema = ", ".join([*(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep), "n_tokens long"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = counter(path)
+        shipped = SparkFiles.get(os.path.basename(path))
+        lengths = counter(shipped if os.path.exists(shipped) else path)
         for b in batches:
             n = pa.array(lengths(b.column(b.num_columns - 1).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*keep, "n_tokens"])
