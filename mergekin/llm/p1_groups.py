@@ -17,11 +17,6 @@ from pyspark.sql import functions as F
 from mergekin.session import drop, read, stash
 
 
-def _edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    lo, hi = F.least(a, b), F.greatest(a, b)
-    return pairs.select(lo.alias("a"), hi.alias("b")).where("a < b").distinct()
-
-
 def _neighbours(edges: DataFrame) -> DataFrame:
     """One row per vertex: degree and its least and greatest neighbour (for degree two these are both)."""
     arcs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b"), F.col("a")))
@@ -47,8 +42,8 @@ def compress_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(removed: child, parent; the edges left) with every maximal chain of degree-two vertices replaced by one edge.
 
     Each directed edge u->v into a chain vertex v points to the next one, v->w; doubling these
-    pointers finds the far end in log(length) rounds.  A pure cycle has no end: after
-    log(number of open edges) rounds its edges have seen the whole cycle and take its least vertex.
+    pointers finds the far end in log(length) rounds.  A pure cycle has no end: its edges go on until a round brings no news, when they
+    have seen the whole cycle, and take its least vertex.
     """
     nb = stash(_neighbours(edges), "degrees")
     chain = nb.where("deg = 2")
@@ -62,16 +57,18 @@ def compress_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         "s", "t", F.col("t").alias("cs"), F.col("w").alias("ct"), F.coalesce("open", F.lit(False)).alias("open"), F.col("t").alias("least")
     )
     state = stash(state, "chain")
-    n_open = state.where("open").count()
-    rounds = max(1, n_open).bit_length() + 1
-    while n_open and rounds:
+    going = state.where("open").count()
+    while going:
         nxt = state.select(
             F.col("s").alias("cs"), F.col("t").alias("ct"), F.col("cs").alias("xs"), F.col("ct").alias("xt"), F.col("open").alias("xopen"), F.col("least").alias("xleast")
         )
-        moved = state.where("open").join(nxt, ["cs", "ct"]).select("s", "t", F.col("xs").alias("cs"), F.col("xt").alias("ct"), F.col("xopen").alias("open"), F.least("least", "xleast").alias("least"))
-        old, state = state, stash(state.where("not open").unionByName(moved), "chain")
+        moved = state.where("open").join(nxt, ["cs", "ct"]).select(
+            "s", "t", F.col("xs").alias("cs"), F.col("xt").alias("ct"), F.col("xopen").alias("open"), F.least("least", "xleast").alias("least"), (~F.col("xopen") | (F.col("xleast") < F.col("least"))).alias("news")
+        )
+        old, state = state, stash(state.where("not open").withColumn("news", F.lit(False)).select(*moved.columns).unionByName(moved), "chain")
         drop(old)
-        n_open, rounds = state.where("open").count(), rounds - 1
+        # Where edges are left to go, some are between one and two steps of this round from an end, or from the least vertex of their cycle.
+        going = state.where("news").count() and state.where("open").count()
     per_vertex = state.groupBy(F.col("t").alias("child")).agg(
         F.min(F.when(~F.col("open"), F.col("ct"))).alias("e1"), F.max(F.when(~F.col("open"), F.col("ct"))).alias("e2"), F.min("least").alias("least")
     )
@@ -122,11 +119,11 @@ def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", shrink: float
     shrink: rake-and-compress goes on while a round leaves less than this share of the edges.
     """
     spark = pairs.sparkSession
-    pairs = pairs.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")
-    edges = stash(_edges(pairs, "a", "b"), "edges")
-    selves = pairs.where("a = b").select(F.col("a").alias("v"))
+    a, b = F.col(a).cast("long"), F.col(b).cast("long")
+    base = stash(pairs.where(a.isNotNull() & b.isNotNull()).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "pairs")  # read once
+    edges = base.where("a < b")
     n, removed = edges.count(), []
-    vertices = edges.select(F.col("a").alias("v")).unionAll(edges.select("b")).unionAll(selves).distinct()
+    vertices = base.select(F.col("a").alias("v")).unionAll(base.select("b")).distinct()
     while n:
         off, edges = strip_leaves(edges)
         removed.append(off)
