@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergekin import standardise as S
-from mergekin.config import rule, rules
+from mergekin.config import MERGE_T, rule, rules
 from mergekin.functions import columns as C
 from mergekin.operators import evidence as E
 from mergekin.operators import graphs as G
@@ -147,7 +147,7 @@ def dependency_bibliography(spark: SparkSession, d: str) -> DataFrame:
     """The dependency-graph baseline: a publication pair and its author pairs support each other weakly."""
     nodes = stash(_bib_nodes(spark, d).withColumn("node", F.xxhash64("group_id", "r1", "r2")), "bib")
     edges = G.relation_edges(nodes.select("node", F.col("group_id").alias("block"), F.col("link").alias("role")), lambda a, b: F.lit(False))
-    out = G.dependency_linkage(nodes.select("node", F.col("sim").alias("sim_attr")), edges, 0.95)
+    out = G.dependency_linkage(nodes.select("node", F.col("sim").alias("sim_attr")), edges, MERGE_T)
     return nodes.join(out, "node").select("r1", "r2", "link", F.round("score", 6).alias("score"), "merged")
 
 
@@ -423,6 +423,13 @@ SQL = {
         r AS (SELECT *, avg(sim) OVER w AS m, row_number() OVER w AS k FROM nodes WINDOW w AS (PARTITION BY g1, g2 ORDER BY sim DESC, r1, r2 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
         best AS (SELECT g1, g2, max(CASE WHEN m >= 0.95 THEN k END) AS keep FROM r GROUP BY g1, g2)
         SELECT r1, r2, link, round(sim, 6)::DOUBLE AS sim FROM r JOIN best USING (g1, g2) WHERE keep >= 2 AND k <= keep""",
+    # Nodes of a group support each other alike, so those merge that stand before the first, best first, whom those before it do not lift far enough.
+    "dependency_bibliography": f"""
+        WITH {_BIB}, nodes AS (SELECT r1 AS g1, r2 AS g2, r1, r2, 'P-P' AS link, score::DOUBLE AS sim FROM pp UNION ALL
+            SELECT r1, r2, -a1, -a2, 'A-A', CASE WHEN (length(x.fname) = 1 OR length(y.fname) = 1) AND substring(x.fname, 1, 1) = substring(y.fname, 1, 1) THEN 0.8 ELSE 1.0 END FROM ap JOIN au x ON x.id = a1 JOIN au y ON y.id = a2),
+        k AS (SELECT *, row_number() OVER (PARTITION BY g1, g2 ORDER BY sim DESC, link, r1, r2) AS k FROM nodes), o AS (SELECT *, CASE WHEN 0.9::DOUBLE * sim + 0.05::DOUBLE * (k - 1) >= 0.85 THEN 1 ELSE 0 END AS ok FROM k),
+        m AS (SELECT *, min(ok) OVER (PARTITION BY g1, g2 ORDER BY k) = 1 AS merged FROM o), n AS (SELECT *, count(*) FILTER (merged) OVER (PARTITION BY g1, g2) AS c FROM m)
+        SELECT r1, r2, link, round(0.9::DOUBLE * sim + 0.05::DOUBLE * (c - CAST(merged AS INTEGER)), 6) AS score, merged FROM n""",
     "bibliography_groups": f"""
         WITH {_BIB}, n AS (SELECT r1, r2, 1 + (SELECT count(*) FROM ap WHERE ap.r1 = pp.r1 AND ap.r2 = pp.r2) AS size FROM pp) SELECT size, count(*) AS groups FROM n GROUP BY size""",
     "translated_truth": """

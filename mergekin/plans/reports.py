@@ -232,6 +232,10 @@ SQL = {
         d AS (SELECT entity, record, count(*) AS degree FROM (SELECT entity, a AS record FROM e UNION ALL SELECT entity, b FROM e) GROUP BY entity, record),
         s AS (SELECT *, count(*) OVER w AS n, sum(degree) OVER w AS ends, min(degree) OVER w AS low FROM d WINDOW w AS (PARTITION BY entity)), t AS (SELECT *, sum(CAST(degree = low AS INTEGER)) OVER (PARTITION BY entity) AS lows FROM s)
         SELECT entity, record FROM t WHERE n >= 4 AND ends::DOUBLE / (n * (n - 1)) <= 0.3 AND degree = low AND lows = 1""",
+    "bridged_entities": f"""
+        WITH RECURSIVE {_REACH}, n AS (SELECT entity, count(*) AS n FROM m GROUP BY entity), x AS (SELECT n.entity, n.n, e.a, e.b FROM e JOIN m ON m.record = e.a JOIN n USING (entity)),
+        w(a, b, v) AS (SELECT a, b, a FROM x WHERE n >= 10 UNION SELECT w.a, w.b, arcs.v FROM w JOIN arcs ON arcs.u = w.v WHERE NOT (arcs.u = w.a AND arcs.v = w.b) AND NOT (arcs.u = w.b AND arcs.v = w.a))
+        SELECT entity, a AS r1, b AS r2 FROM x WHERE n < 10 OR EXISTS (SELECT 1 FROM w WHERE w.a = x.a AND w.b = x.b AND w.v = x.b)""",
     "entity_link_counts": f"""
         WITH RECURSIVE {_REACH}, j AS (SELECT a.record AS x, b.record AS y FROM m a JOIN m b USING (entity) WHERE a.record < b.record)
         SELECT CASE WHEN x % 2 = 0 AND y % 2 = 0 THEN 'A-A' WHEN x % 2 = 1 AND y % 2 = 1 THEN 'B-B' ELSE 'A-B' END AS link, count(*) AS n FROM j GROUP BY 1""",
