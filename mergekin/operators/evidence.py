@@ -45,7 +45,10 @@ def alike_values(left: DataFrame, right: DataFrame | None, attribute: str, colum
     else:
         blocked = blocks or (lambda df: value_blocks(df, key))
         x, y = blocked(a), blocked(b)
-    pairs = x.withColumnRenamed("v", "v1").join(y.withColumnRenamed("v", "v2"), "block").select("v1", "v2")
+    # A few values of a block make many pairs, whose comparison is pushed into the join: by their bytes the blocks would be left to very few tasks.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x, y = x.withColumnRenamed("v", "v1").repartition(tasks, "block"), y.withColumnRenamed("v", "v2").repartition(tasks, "block")
+    pairs = x.join(y, "block").select("v1", "v2")
     pairs = pairs.where("v1 < v2" if right is None else "v1 != v2").distinct()
     scored = pairs.withColumn("sim", _compare(attribute, text)(F.col("v1"), F.col("v2"))).where(F.col("sim") >= min_sim)
     same = (a if right is None else a.join(b, "v")).select(F.col("v").alias("v1"), F.col("v").alias("v2"), F.lit(1.0).alias("sim"))
