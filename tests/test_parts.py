@@ -29,3 +29,13 @@ def test_wide_acceptance_is_that_of_evidence(spark):
     assert told(E.accepted_wide(wide, L.PARTS_RULE)) == told(E.accepted_pairs(evidence, L.PARTS_RULE))
     of = {(r.r1, r.r2): r.sim_attr for r in E.weighted_wide(wide, L.PARTS_RULE).collect()}
     assert {k: of[k] for k in ((r.r1, r.r2) for r in E.weighted_scores(evidence, L.PARTS_RULE).collect())} == {(r.r1, r.r2): r.sim_attr for r in E.weighted_scores(evidence, L.PARTS_RULE).collect()}
+
+
+def test_linked_parts_of_unlike_names_never_meet(spark, tmp_path):
+    _many_parts(spark, tmp_path)
+    began = time.time()
+    got = {(r.r1, r.r2): r.score for r in L.linked_parts(spark, str(tmp_path)).collect()}
+    near = round(1 - 1 / 12, 9)
+    name = lambda a, b: 1.0 if a % 2 == b % 2 else near
+    assert got == {(a, b): round(0.7 * name(a, b) + 0.3 if 1 in (a, b) else 0.6 * name(a, b) + 0.4, 6) for a in range(4) for b in range(a + 1, 4)}
+    assert time.time() - began < 45  # all pairs are 200 million
