@@ -35,3 +35,10 @@ def test_surnames_of_one_block_in_time(spark):
     began = time.time()
     alike = E.alike_values(names, names, "name", "v", 0.9, blocks=lambda df: df.select("v", F.lit("x").alias("block")))
     assert alike.count() >= 12000 and time.time() - began < 60  # 144 million pairs in a block
+
+
+def test_far_surnames_are_told_by_their_letters(spark):
+    rows = spark.createDataFrame([("smithson", "s"), ("smitson", "s"), ("sandoval", "s")], "v string, block string")
+    x, y = (E._signed(rows, False).withColumnsRenamed({c: f"{c}_{k}" for c in ("n", "h1", "h2", "few", "many")}).withColumnRenamed("v", f"v{k}") for k in (1, 2))
+    met = {(r.v1, r.v2) for r in x.join(y, "block").where("v1 < v2").where(E._may_be_alike(C.edit_dist, 0.8)).collect()}
+    assert met == {("smithson", "smitson")}
