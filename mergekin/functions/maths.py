@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import permutations, product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +48,17 @@ def summary(df: DataFrame, column: str, quantiles: tuple[float, ...] = (0.0, 0.2
     return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("stddev"), qs)
 
 
+
+
+def hash_longs(a: int | np.ndarray, b: int | np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of two long columns."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = np.full(1, 42, np.uint64)
+    for v in (a, b):
+        h = (h + p5 + np.uint64(8)) ^ (turn(np.atleast_1d(np.asarray(v, np.int64)).view(np.uint64) * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
