@@ -61,3 +61,15 @@ def test_linked_titles_of_very_many_records(spark, tmp_path):
     began = time.time()
     got = L.linked_bibliography(spark, str(tmp_path)).collect()
     assert len(got) == 15000 == len({x.r1 for x in got}) and {x.sim for x in got} == {1.0} and time.time() - began < 60  # 53 million pairs
+
+
+def test_single_pairs_of_one_title_and_year_in_time(spark):
+    n = spark.range(120).select(F.col("id").alias("r1")).crossJoin(spark.range(120).select((F.col("id") + 1000).alias("r2")))
+    none = F.lit(None).cast("long")
+    n = n.select(F.xxhash64("r1", "r2").alias("group_id"), "r1", "r2", F.lit("P-P").alias("link"), (0.9 + (F.col("r1") + F.col("r2")) % 3 / 100).alias("sim"), none.alias("year1"), none.alias("year2"))
+    n = n.unionByName(n.where("r1 % 7 = 0 and r2 % 7 = 6").select("group_id", (-F.col("r1") - 1).alias("r1"), (-F.col("r2")).alias("r2"), F.lit("A-A").alias("link"), F.lit(1.0).alias("sim"), "year1", "year2"))
+    want = G.link_component(n.toPandas(), 0.85, 0.9, {"P-P"}, None, True)
+    began = time.time()
+    got = G.greedy_groups(n, 0.85, 0.9, ("P-P",), task_rows=1000).collect()  # in rounds it would take nearly as many as records
+    assert {(x.group_id, x.r1, x.r2, x.link, x.sim, x.entity) for x in got} == set(want.itertuples(index=False, name=None)) and len(want) > 120
+    assert time.time() - began < 90
