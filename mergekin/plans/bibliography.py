@@ -103,15 +103,20 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return stash(p.unionByName(a), "bib-nodes")
 
 
-def resolved(found: DataFrame, propagate: bool = True, relations: bool = True) -> DataFrame:
+def sure_groups(found: DataFrame) -> DataFrame:
+    """What is merged of the groups that are sure enough to come first."""
+    return stash(G.greedy_groups(G.bootstrap_groups(found, BOOTSTRAP_T), BOOTSTRAP_T, None, ONE_TO_ONE), "first")
+
+
+def resolved(found: DataFrame, propagate: bool = True, relations: bool = True, first: DataFrame | None = None) -> DataFrame:
     """(r1, r2, link, sim, reason) of merged nodes: the sure groups first, then the rest by size and mean, then single pairs.
 
     Publications and authors are in one pair each, so two authors of a work never become one.  propagate: whether the first merges bar records for the
     later ones (without, the two steps know nothing of each other).  relations: whether nodes stand in groups (without, each stands alone).
+    first: sure_groups() of found, where they are known.
     """
     found = found if relations else found.withColumn("group_id", F.xxhash64("r1", "r2", "link"))
-    sure = G.bootstrap_groups(found, BOOTSTRAP_T)
-    first = stash(G.greedy_groups(sure, BOOTSTRAP_T, None, ONE_TO_ONE), "first")
+    first = first if first is not None and relations else sure_groups(found)
     later = G.without_used(found, first, ONE_TO_ONE) if propagate else found.join(first.select("group_id").distinct(), "group_id", "left_anti")
     second = G.greedy_groups(later, MERGE_T, ATOMIC_T, ONE_TO_ONE)
     tell = lambda df, reason: df.select("r1", "r2", "link", "sim", F.lit(reason).alias("reason"))
@@ -137,7 +142,8 @@ def resolved_by_reason(spark: SparkSession, d: str) -> DataFrame:
     """Merged and unmerged nodes of the pipeline by link and reason, and the same without relations and without propagation."""
     n = nodes(spark, d)
     total = n.groupBy("link").agg(F.count("*").alias("nodes"))
-    ways = {"whole": {}, "no relations": {"relations": False}, "no propagation": {"propagate": False}}
+    first = sure_groups(n)
+    ways = {"whole": {"first": first}, "no relations": {"relations": False}, "no propagation": {"propagate": False, "first": first}}
     out = [resolved(n, **w).groupBy("link", "reason").agg(F.count("*").alias("merged")).withColumn("way", F.lit(k)) for k, w in ways.items()]
     return out[0].unionByName(out[1]).unionByName(out[2]).join(total, "link").select("way", "link", "reason", "merged", "nodes")
 
