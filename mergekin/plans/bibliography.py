@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mergekin import standardise as S
 from mergekin.config import ATOMIC_T, BOOTSTRAP_T, MERGE_T, rules
+from mergekin.functions.columns import abs_difference
 from mergekin.operators import evidence as E
 from mergekin.operators import graphs as G
 from mergekin.operators.evaluate import quality
@@ -20,6 +21,8 @@ from mergekin.session import read, stash
 
 RULES = rules(ATOMIC_T)
 ONE_TO_ONE = ("P-P", "A-A")
+#: So many records of one title are joined in a task with a part of what meets them.
+ONE_PART = 256
 
 
 @dataclass
@@ -42,27 +45,65 @@ def load(spark: SparkSession, d: str) -> Bibliography:
     return Bibliography(pubs, stash(people.select("rec", "source", F.xxhash64("rec", "author_no").alias("author"), "fname", "sname"), "authors"))
 
 
+def phrases(b: Bibliography) -> DataFrame:
+    """Alike titles and venues of publications, across the sources."""
+    (pa_, _), (pb, _) = b.side("A"), b.side("B")
+    r = RULES["def_pubs"]
+    return E.alike_phrases(pa_, pb, "pub_name", "pub_name", r.must.min_sim).unionByName(E.alike_phrases(pa_, pb, "venue", "venue", r.extra.min_sim))
+
+
 def atomic(b: Bibliography) -> DataFrame:
     """Alike titles, years and venues of publications and names of authors, across the sources."""
     (pa_, aa), (pb, ab) = b.side("A"), b.side("B")
     r = RULES["def_pubs"]
-    found = E.alike_phrases(pa_, pb, "pub_name", "pub_name", r.must.min_sim)
-    found = found.unionByName(E.alike_values(pa_, pb, "year", "year", r.core.min_sim)).unionByName(E.alike_phrases(pa_, pb, "venue", "venue", r.extra.min_sim))
+    found = phrases(b).unionByName(E.alike_values(pa_, pb, "year", "year", r.core.min_sim))
     for c in ("sname", "fname"):
         found = found.unionByName(E.alike_values(aa, ab, c, c, RULES["def_authors"].core.min_sim))
     return stash(found, "atomic")
 
 
+def accepted_publications(b: Bibliography, values: DataFrame) -> DataFrame:
+    """(r1, r2, pub_name, year, venue, sim) of all publication pairs that the rule accepts: titles alike, whatever the years, venues and authors.
+
+    values: the alike titles and venues.  The likenesses are those of the sets of titles and of venues that records hold over their deliveries, so a title of
+    very many records is compared once.  Each pair of records then arises once, with all that scores it at hand, from one join that nothing has to
+    follow; a title of many records in B is spread over several tasks.
+    """
+    r, spark = RULES["def_pubs"], b.pubs.sparkSession
+    each = b.pubs.groupBy("source", "rec").agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in ("pub_name", "venue", "year")]).where(F.size("pub_name") > 0)
+    each = stash(each.withColumns({"titles": F.xxhash64("pub_name"), "venues": F.xxhash64("venue")}), "profiles")
+    side = lambda source, k: each.where(F.col("source") == source).select(F.col("rec").alias(f"r{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("titles", "venues", "year", "pub_name", "venue")])
+    a, z = side("A", 1), side("B", 2)
+
+    def sets(attribute: str, key: str) -> DataFrame:
+        held = lambda df, k: df.select(f"{key}{k}", F.explode(f"{attribute}{k}").alias(f"v{k}")).distinct()
+        alike = E._both_ways(values.where(F.col("attr") == attribute)).select("v1", "v2", "sim")
+        return held(a, 1).join(alike, "v1").join(held(z, 2), "v2").groupBy(f"{key}1", f"{key}2").agg(F.max("sim").alias("sim"))
+
+    parts = z.groupBy("titles2").agg(F.ceil(F.count("*") / ONE_PART).alias("parts"))
+    titles = sets("pub_name", "titles").withColumnRenamed("sim", "pub_name").join(parts, "titles2")
+    venues = sets("venue", "venues").groupBy("venues1").agg(F.map_from_entries(F.collect_list(F.struct("venues2", "sim"))).alias("alike_venues"))
+    left = a.select("r1", "titles1", "venues1", F.col("year1").cast("array<double>")).join(titles, "titles1").join(venues, "venues1", "left")
+    left = left.select("r1", "titles2", "pub_name", "year1", "alike_venues", F.pmod(F.xxhash64("r1"), "parts").alias("part"))
+    right = z.join(parts, "titles2").select("r2", "titles2", "venues2", F.col("year2").cast("array<double>"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.repartition(tasks, "titles2", "part").join(right.repartition(tasks, "titles2", "part"), ["titles2", "part"])
+    years = F.array_max(F.flatten(F.transform("year1", lambda x: F.transform("year2", lambda y: abs_difference(x, y)))))
+    years = F.when((F.size("year1") == 1) & (F.size("year2") == 1), abs_difference(F.col("year1")[0], F.col("year2")[0])).otherwise(years)
+    pairs = pairs.select("r1", "r2", "pub_name", years.alias("year"), F.try_element_at("alike_venues", F.col("venues2")).alias("venue"))
+    return E.weighted_wide(pairs, r).withColumnRenamed("sim_attr", "sim")
+
+
 def publication_nodes(b: Bibliography, values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes (r1, r2, sim), their evidence) of publication pairs that the rule accepts.
+    """(nodes (r1, r2, sim), their evidence) of the accepted publication pairs that linking can merge.
 
-    Pairs arise where the titles are alike and the years or an author's surname are, too: a pair with neither has no author pair and scores too low to be
-    merged by itself, so a title that very many records share does not pair them all.
+    Those are the pairs where the titles are alike and the years or an author's surname are, too, each in any two deliveries: a pair with neither has no
+    author pair and scores 0.8 at most, so it is never merged.  accepted_publications() has all pairs.
     """
     (pa_, aa), (pb, ab) = b.side("A"), b.side("B")
     r = RULES["def_pubs"]
     titles = lambda p, a: p.select("rec", "pub_name").join(a.select("rec", "sname").distinct(), "rec")
-    by_year = E.pair_evidence(pa_, pb, values, ["pub_name", "year"], "rec", drive=["pub_name", "year"]).select("r1", "r2")
+    by_year = accepted_publications(b, values).where(F.col("year") >= r.core.min_sim).select("r1", "r2")
     by_author = E.pair_evidence(titles(pa_, aa), titles(pb, ab), values, ["pub_name", "sname"], "rec", drive=["pub_name", "sname"]).select("r1", "r2")
     pairs = stash(by_year.unionByName(by_author).distinct(), "pairs")
     evidence = stash(E.evidence_of(pairs, pa_, pb, values, list(r.category_of()), "rec"), "evidence")
@@ -129,8 +170,7 @@ def resolved(found: DataFrame, propagate: bool = True, relations: bool = True, f
 def rule_publication_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Publication pairs of the two sources under the rule for publications: titles at least 0.9 alike by sorted Winkler."""
     b = load(spark, d)
-    pubs, _ = publication_nodes(b, atomic(b))
-    return pubs.select("r1", "r2", F.round("sim", 6).alias("score"))
+    return accepted_publications(b, stash(phrases(b), "phrases")).select("r1", "r2", F.round("sim", 6).alias("score"))
 
 
 def resolved_bibliography(spark: SparkSession, d: str) -> DataFrame:
